@@ -4,13 +4,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from temploom.llm import decontaminate, exact_dedup, mixing, substring_dedup, token_output
+from temploom.llm import decontaminate, exact_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, quality, substring_dedup, token_output
 
 
 def _t(s: SparkSession, d: str, name: str) -> DataFrame:
     return s.read.parquet(f"{d}/{name}.parquet")
 
 
+def op1_html_extract(s: SparkSession, d: str) -> DataFrame:
+    out = html_extract.extract(_t(s, d, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op2_near_dedup(s: SparkSession, d: str) -> DataFrame:
+    return near_dedup.near_classes(_t(s, d, "documents"))
+
+
 def op3_token_output(s: SparkSession, d: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,6 +36,17 @@ def op5_mix_sources(s: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_language_id(s: SparkSession, d: str) -> DataFrame:
+    docs = _t(s, d, "documents")
+    out = language_id.identify(docs, language_id.train(docs))
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op7_line_dedup(s: SparkSession, d: str) -> DataFrame:
+    out = line_dedup.drop_lines(_t(s, d, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_decontaminate(s: SparkSession, d: str) -> DataFrame:
     out = decontaminate.decontaminate(_t(s, d, "documents"), _t(s, d, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -37,7 +57,20 @@ def op9_exact_dedup(s: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_output, op4_substring_dedup, op5_mix_sources, op8_decontaminate, op9_exact_dedup)}
+def op10_quality(s: SparkSession, d: str) -> DataFrame:
+    return quality.classify(_t(s, d, "documents"), _t(s, d, "labels"))
+
+
+def pipeline(s: SparkSession, d: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(s, d)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_html_extract, op2_near_dedup, op3_token_output, op4_substring_dedup, op5_mix_sources, op6_language_id, op7_line_dedup, op8_decontaminate, op9_exact_dedup, op10_quality, pipeline)
+}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
