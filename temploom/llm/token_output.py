@@ -49,6 +49,13 @@ class Encoder:
         self.words: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
 
+    @staticmethod
+    def of(path: str, end_id: int) -> Encoder:
+        """This Python worker's encoder: what it has learned serves the tasks that follow."""
+        if (path, end_id) not in _encoders:
+            _encoders[path, end_id] = Encoder(path, end_id)
+        return _encoders[path, end_id]
+
     @staticmethod
     def _parts(word: str) -> tuple[str, ...]:
         m = _CORE.fullmatch(word)
@@ -60,7 +67,7 @@ class Encoder:
     def learn(self, words: set[str]) -> None:
         if len(self.words) > CACHE:
             self.words = {"": b""}
-        if len(self.pieces) > CACHE:
+        if len(self.pieces) > 2 * CACHE:
             self.pieces = {}
         parts = {w: self._parts(w) for w in words if w not in self.words}
         new = list({p for x in parts.values() for p in x if p not in self.pieces})
@@ -85,6 +92,9 @@ def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if ":/" in uri else (pafs.LocalFileSystem(), uri)
 
 
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
 class _Shard:
     """Writer of one shard."""
 
@@ -157,7 +167,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, se
         for b in batches:
             for part in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
                 if out is None:
-                    enc = Encoder(tokenizer, end_id)
+                    enc = Encoder.of(tokenizer, end_id)
                     out = _Shard(path, f"{shard:06d}", enc.kind, seq_len)
                 texts = [Encoder.cut(x or "") for x in part.column("text").to_pylist()]
                 enc.learn(set().union(*texts))
