@@ -28,8 +28,9 @@ SMALL = 500_000
 
 
 def masked(line: Column) -> Column:
-    s = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.regexp_replace(s, r"[^ ]*[0-9][^ ]*", "<*>")
+    # Single spaces aren't replaced by themselves; a token is scanned once, from its start.
+    s = F.trim(F.regexp_replace(line, r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "))
+    return F.regexp_replace(s, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")
 
 
 def _lines(docs: DataFrame, *more: Column) -> DataFrame:
