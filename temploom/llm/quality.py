@@ -4,7 +4,7 @@ N-grams are of ORDER characters (a text begins after ORDER - 1 start marks). Eve
 texts at once, the counts are summed by n-gram, and lower orders hold the numbers of distinct left extensions. Discounts come
 from the numbers of n-grams counted once to four times. The probability of an n-gram is (count - discount) / total of its context plus
 the context's back-off weight times the probability of its suffix; all of that is joins of count tables keyed by n-gram. So is
-scoring: the distinct n-grams of all documents are joined with the model, then each chunk of documents sends its distinct n-gram hashes
+scoring: the distinct n-grams of all documents are joined with the model (those not seen by their suffixes, order by order), then each chunk of documents sends its distinct n-gram hashes
 in ranges to the scores and gets them back in the same order, through a table in the shared folder, as a hot n-gram would else be
 joined once for each of its occurrences. A document's perplexity is exp of minus its mean log probability.
 
@@ -27,9 +27,10 @@ from temploom.llm.common import work_dir, written
 from temploom.llm.substring_dedup import _Back as _Answers
 from temploom.llm.substring_dedup import _crc, _cuts, _mix, _pid
 
-ORDER = 4
+ORDER = 6
 START = "\x02"
 CHUNK = 3_000_000  # characters, but for a longer single text
+BATCH = 100_000  # n-grams made strings at once
 _SENT = "pid int, chunk int, part int, crc long, low binary, flags binary"
 
 
@@ -41,7 +42,7 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hash(c: np.ndarray) -> np.ndarray:
-    """Hash of the ORDER code points from each place; exact for ORDER 4 but for mixing (64 bits hold 3 x 21)."""
+    """64-bit hash of the ORDER code points from each place; two different n-grams agree with probability 2**-64."""
     h = np.zeros(len(c) - ORDER + 1, np.uint64)
     for k in range(ORDER):
         h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + c[k : len(h) + k].astype(np.uint64) + np.uint64(1))
@@ -87,7 +88,8 @@ def _count(texts: DataFrame) -> DataFrame:
             ok = np.flatnonzero(_ends(n))
             if len(ok):
                 _, first, count = np.unique(_hash(c)[ok], return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([_grams(c, ok[first]), pa.array(count, pa.int64())], names=["gram", "c"])
+                for k in range(0, len(first), BATCH):
+                    yield pa.RecordBatch.from_arrays([_grams(c, ok[first[k : k + BATCH]]), pa.array(count[k : k + BATCH], pa.int64())], names=["gram", "c"])
 
     return texts.select("text").mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
@@ -117,15 +119,28 @@ def model_tables(trusted: DataFrame, path: str) -> tuple[list[DataFrame], list[D
     return probs, backs
 
 
-def score_grams(grams: DataFrame, probs: list[DataFrame], backs: list[DataFrame]) -> DataFrame:
-    """gram, logp for distinct n-grams of the highest order, seen in training or not."""
-    out = grams.select("gram").withColumn("p", F.lit(None).cast("double")).withColumn("w", F.lit(1.0))
+def score_grams(grams: DataFrame, probs: list[DataFrame], backs: list[DataFrame], path: str) -> DataFrame:
+    """gram, logp for distinct n-grams of the highest order, seen in training or not.
+
+    Only what an order hasn't seen goes on, as distinct suffixes, to the next lower order; the scores then come back up.
+    """
+    found, unseen, level = [], [], grams.select("gram")
     for n in range(ORDER, 0, -1):
-        tail = F.substring("gram", ORDER - n + 1, n)
-        out = out.withColumn("_k", tail).withColumn("_x", F.substring("_k", 1, n - 1))
-        out = out.join(probs[n - 1].select(F.col("gram").alias("_k"), F.col("p").alias("_p")), "_k", "left").join(backs[n - 1].select(F.col("ctx").alias("_x"), F.col("g").alias("_g")), "_x", "left")
-        out = out.select("gram", F.coalesce("p", F.col("w") * F.col("_p")).alias("p"), (F.col("w") * F.coalesce("_g", F.lit(1.0))).alias("w"))
-    return out.select("gram", F.log(F.coalesce("p", F.col("w") / 1_114_112)).alias("logp"))
+        t = written(level.join(probs[n - 1], "gram", "left"), f"level{n}", path)
+        found.append(t.filter("p is not null"))
+        unseen.append(t.filter("p is null").select("gram", F.substring("gram", 1, n - 1).alias("ctx"), F.substring("gram", 2, n - 1).alias("_s")))
+        level = unseen[-1].select(F.col("_s").alias("gram")).distinct()
+    out = None
+    for n in range(1, ORDER + 1):
+        t = unseen[ORDER - n].join(backs[n - 1], "ctx", "left").withColumn("g", F.coalesce("g", F.lit(1.0)))
+        if out is None:
+            t = t.withColumn("_p", F.lit(1 / 1_114_112))
+        else:
+            t = t.join(out.select(F.col("gram").alias("_s"), F.col("p").alias("_p")), "_s")
+        out = found[ORDER - n].select("gram", "p").unionByName(t.select("gram", (F.col("g") * F.col("_p")).alias("p")))
+        if n < ORDER:
+            out = written(out, f"scored{n}", path)
+    return out.select("gram", F.log("p").alias("logp"))
 
 
 def _scores_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +159,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, path: str | None = None, c
     path, parts = path or work_dir(spark), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     probs, backs = model_tables(trusted, path)
     rows = docs.select("doc_id", *carry, F.col("text").cast("string").alias("text"))
-    scores = written(score_grams(_count(rows), probs, backs), "scores", path)
+    scores = written(score_grams(_count(rows), probs, backs, path), "scores", path)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -275,6 +275,15 @@ def test_classify(spark, nasty, empty):
     assert ql.classify(nasty, one).count() == nasty.count() and ql.classify(empty, one).count() == 0
 
 
+def test_classify_drops_repeated_words(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    rows = ql.classify(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect()
+    good, bad = [r.keep for r in rows if r.quality == 1], [r.keep for r in rows if r.quality == 0]
+    again = [r.keep for r in rows if r.quality == 0 and len(w := (r.text or "").split()) >= 10 and len(set(w)) <= max(3, len(w) // 10)]
+    assert np.mean(good) > 0.95 and np.mean(bad) < 0.03 and len(again) >= 5 and not any(again)
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------------------------
 
 
