@@ -20,24 +20,33 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, its place in the stage's Parquet input: ids may be null or come again."""
+    return docs.withColumn("_row", F.concat_ws("#", "_metadata.file_path", "_metadata.row_index"))
+
+
 def _kept(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the doc_ids of gone."""
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """docs without the rows of gone."""
+    return docs.join(gone.select("_row"), "_row", "left_anti").drop("_row")
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, near_dedup.near_classes(docs).filter(~F.col("kept")))
+    rows = _rows(docs)
+    return _kept(rows, near_dedup.near_classes(rows, carry=("_row",)).filter(~F.col("kept"))).select(*docs.columns)
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated"))
+    rows = _rows(docs)
+    # The operator takes doc_id as a name only, so the row's key stands in for it.
+    found = decontaminate.decontaminate(rows.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _kept(rows, found.filter("contaminated").select(F.col("doc_id").alias("_row"))).select(*docs.columns)
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     quality = mixing.quality_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    taken = mixing.mix(docs, quality).select(F.col("doc_id").alias("_i"), (F.col("epochs") + F.col("sampled").cast("long")).cast("int").alias("_n")).filter("_n > 0")
-    rows = docs.join(taken.dropDuplicates(["_i"]), F.col("doc_id").eqNullSafe(F.col("_i")))
-    return rows.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    rows = _rows(docs)
+    taken = mixing.mix(rows, quality, carry=("_row",)).select("_row", (F.col("epochs") + F.col("sampled").cast("long")).cast("int").alias("_n")).filter("_n > 0")
+    return rows.join(taken, "_row").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
 
 
 def stage_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

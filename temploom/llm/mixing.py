@@ -43,10 +43,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budg
     return s.select("source", "source_size", F.least("_cap", F.coalesce(F.col("_at.level") * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, epochs, sampled, taken. quality: doc_id, weight (one row a doc_id)."""
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget: float = 1.5, cap: float = 2.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, epochs, sampled, taken, carry. quality: doc_id, weight (one row a doc_id)."""
     base = work_dir(docs.sparkSession)
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry)
     if quality is not None:
         q = quality.groupBy(F.col("doc_id").alias("_q")).agg(F.max("weight").alias("_weight"))
         rows = rows.join(q, rows["doc_id"] == F.col("_q"), "left").withColumn("_weight", F.when(F.col("_weight") > 0, F.col("_weight")).otherwise(1.0)).drop("_q")
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float,
     others = rows.filter(F.col("_cut").isNull() | (F.col("_bucket") != F.col("_cut"))).withColumn("sampled", (F.col("_rest") > 0) & F.coalesce(F.col("_bucket") < F.col("_cut"), F.lit(False)))
     out = inside.unionByName(others)
     taken = F.col("size") * (F.col("epochs") + F.col("sampled").cast("long"))
-    return out.withColumn("taken", taken).select("doc_id", "source", "size", "source_size", "target", "epochs", "sampled", "taken")
+    return out.withColumn("taken", taken).select("doc_id", "source", "size", "source_size", "target", "epochs", "sampled", "taken", *carry)
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:

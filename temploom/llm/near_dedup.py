@@ -60,9 +60,9 @@ def fingerprint(h: np.ndarray) -> tuple[int, int]:
     return out[0], out[1]
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """pid, idx, doc_id, digest of the shingle set, fingerprint words a and b, n (shingles)."""
-    schema = pa.schema([("pid", pa.int32()), ("idx", pa.int32()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32())])
+def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """pid, idx, doc_id, digest of the shingle set, fingerprint words a and b, n (shingles), carry (as strings)."""
+    schema = pa.schema([("pid", pa.int32()), ("idx", pa.int32()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), *((c, pa.string()) for c in carry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, at = _pid(), 0
@@ -73,10 +73,10 @@ def features(docs: DataFrame) -> DataFrame:
                 rows.append((pid, at, i, _digest(h), *fingerprint(h), len(h)))
                 at += 1
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], *[b.column(2 + k).cast(pa.string()) for k in range(len(carry))]], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "pid int, idx int, doc_id long, digest binary, a long, b long, n int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).cast("string").alias(c) for c in carry])
+    return rows.mapInArrow(run, ", ".join(["pid int, idx int, doc_id long, digest binary, a long, b long, n int", *[f"`{c}` string" for c in carry]]))
 
 
 def _digest(h: np.ndarray) -> bytes:
@@ -247,11 +247,11 @@ def _member_sets(docs: DataFrame, members: str) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "rid long, root long, nb int, a long, b long, set binary")
 
 
-def near_classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
-    """Per document: doc_id, class_id (the least doc_id of its class), class_size, kept (one row of each class)."""
+def near_classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.98, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, class_id (the least doc_id of its class), class_size, kept (one row of each class), carry (as strings)."""
     spark: SparkSession = docs.sparkSession
     path = work_dir(spark)
-    rows = written(features(docs), "features", path)
+    rows = written(features(docs, carry), "features", path)
     group = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "pid", "idx")
     reps = rows.filter("n > 0").groupBy("digest").agg(F.min(group).alias("first"), F.min("a").alias("a"), F.min("b").alias("b"), F.count(F.lit(1)).alias("copies"))
     reps = reps.withColumn("rid", (F.col("first.pid").cast("long") * 2**32 + F.col("first.idx")))
@@ -270,6 +270,6 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.98)
     class_ = named.groupBy("root").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))
     by = written(named.select("digest", "root", "copies").join(class_, "root").select("digest", "head", "class_size", "copies"), "classes", path)
     out = hot_join(rows.filter("n > 0"), by, "digest", "copies", n_rows=by.agg(F.coalesce(F.sum("copies"), F.lit(0))).head()[0], how="inner")
-    out = out.select("doc_id", F.col("head.doc_id").alias("class_id"), "class_size", ((F.col("pid") == F.col("head.pid")) & (F.col("idx") == F.col("head.idx"))).alias("kept"))
-    alone = rows.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    out = out.select("doc_id", F.col("head.doc_id").alias("class_id"), "class_size", ((F.col("pid") == F.col("head.pid")) & (F.col("idx") == F.col("head.idx"))).alias("kept"), *carry)
+    alone = rows.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), *carry)
     return out.unionByName(alone)

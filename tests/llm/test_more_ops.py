@@ -303,3 +303,26 @@ def test_pipeline_stages(spark):
         sizes.append(docs.count())
     last = cp.STAGES[-1][1](spark, docs, SF)
     assert last.count() == sizes[-1] and sizes[1] > 0.9 * sizes[0] and sizes[2] < sizes[1]
+
+
+def test_pipeline_stages_go_by_row(spark, nasty):
+    import corpus_pipeline as cp
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").head().text
+    base = spark.conf.get("spark.checkpoint.dir")
+    more = spark.createDataFrame([(None, item), (None, "one clean text of its own without any match at all"), (20, item), (20, "another clean text that shares its id with a bad one")], "doc_id long, text string")
+    nasty.select("doc_id", "text", "lang", "source", "n_chars").unionByName(more, allowMissingColumns=True).repartition(3).write.parquet(f"{base}/by_row")
+    docs = spark.read.parquet(f"{base}/by_row")
+    texts = lambda df: Counter(r.text for r in df.collect())
+    every, near, clean = texts(docs), texts(cp.stage_near_dedup(spark, docs, SF)), texts(cp.stage_decontaminate(spark, docs, SF))
+    assert near == Counter({t: n if not (t or "").split() else 1 for t, n in every.items()})
+    assert clean == Counter({t: n for t, n in every.items() if t != item})
+    # Of three equal rows under one id, each is taken as often as the mix says of its row.
+    same = spark.createDataFrame([(i // 3, f"a{i // 3} b c d", "en", "s", 8) for i in range(300)] + [(None, f"n{i} b c d", "en", "s", 8) for i in range(9)], docs.schema)
+    same.repartition(2).write.parquet(f"{base}/same")
+    same = spark.read.parquet(f"{base}/same")
+    want = Counter()
+    for r in cp.mixing.mix(same, cp.mixing.quality_weights(spark.read.parquet(f"{SF}/labels.parquet"))).collect():
+        want[r.doc_id] += r.epochs + r.sampled
+    got = Counter(r.doc_id for r in cp.stage_mix(spark, same, SF).collect())
+    assert got == want and sum(got.values()) > 309
