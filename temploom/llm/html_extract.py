@@ -8,7 +8,7 @@ from templates (``labelled_pages``); nothing of the input is used.
 
 Segments are decoded (character references), white space runs become one space, ``br`` counts as white space, blocks are joined by two
 line feeds in page order. Nulls and pages without content give an empty text. Broken markup is closed as browsers do for p, li, cells
-and options; unknown tags are inline. Rows are independent, so repeated rows and clashing columns don't matter; an empty table gives no
+and options; unknown tags are inline. Scripts, styles and the like are passed over to their own end tag, whatever is inside. Rows are independent, so repeated rows and clashing columns don't matter; an empty table gives no
 rows. Long pages take time and memory in proportion to their length.
 """
 from __future__ import annotations
@@ -29,7 +29,9 @@ _ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))
 _WORDS = re.compile(r"[A-Za-z]+")
 _SPACES = re.compile(r"\s+")
 BLOCKS = frozenset("html body main article section div header footer nav aside p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption form fieldset blockquote pre figure figcaption address details summary hr center menu dialog legend label select option textarea button iframe".split())
-RAW = frozenset("script style noscript template svg head title math object canvas audio video iframe".split())
+RAW = frozenset("script style noscript template svg title object canvas audio video iframe".split())
+TEXT = frozenset("script style title iframe".split())  # without an end tag these go to the end of the page; the others' start tag is then passed over
+_ENDS = {t: re.compile(rf"</{t}(?![^\s/>])[^>]*>?", re.I) for t in RAW}
 VOID = frozenset("hr br img input meta link area base col embed source track wbr".split())
 CLOSES_P = BLOCKS - frozenset("td th tr li dt dd option label button select textarea thead tbody tfoot html body caption legend summary".split())
 _CLOSE = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "option": ({"option"}, {"select"})}
@@ -46,7 +48,8 @@ class Node:
 def parse(page: str) -> list[Node]:
     """Block elements and text segments in page order; parents come before children."""
     nodes = [Node("#root", "", -1, 0)]
-    stack, run, linked, in_link, skip, at = [0], [], 0, 0, "", 0
+    stack, run, linked, in_link, at, pos = [0], [], 0, 0, 0, 0
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal run, linked
@@ -67,12 +70,8 @@ def parse(page: str) -> list[Node]:
             if tag in stop:
                 return
 
-    for m in _TAG.finditer(page):
-        if skip:
-            if not (m[2] == "/" and m[3].lower() == skip):
-                continue
-            skip, at = "", m.end()
-            continue
+    while m := _TAG.search(page, pos):
+        pos = m.end()
         if m.start() > at:
             piece = page[at : m.start()]
             run.append(piece)
@@ -89,8 +88,14 @@ def parse(page: str) -> list[Node]:
         elif tag == "a":
             in_link = 0 if closing else 1
         elif tag in RAW:
-            if not closing and not m[4].endswith("/"):
-                skip = tag
+            # Nothing inside counts as markup but the element's own end tag.
+            if not closing and not m[4].endswith("/") and tag not in unclosed:
+                if end := _ENDS[tag].search(page, pos):
+                    at = pos = end.end()
+                elif tag in TEXT:
+                    at = pos = len(page)
+                else:
+                    unclosed.add(tag)
         elif tag in BLOCKS:
             flush()
             if closing:
@@ -104,7 +109,7 @@ def parse(page: str) -> list[Node]:
             nodes.append(Node(tag, m[4], stack[-1], len(stack)))
             if tag not in VOID:
                 stack.append(len(nodes) - 1)
-    if not skip and at < len(page):
+    if at < len(page):
         run.append(page[at:])
     flush()
     for x in reversed(nodes):

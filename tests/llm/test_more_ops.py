@@ -51,6 +51,17 @@ def test_extract(spark, model):
     assert hx.extract(df.filter("false"), model).count() == 0
 
 
+def test_raw_elements_end_at_their_own_end_tag(model):
+    t = lambda h: [x.text for x in hx.parse(h) if x.text]
+    article = "<article><h1>A title</h1><p>Some text of the page.</p></article>"
+    want = ["A title", "Some text of the page."]
+    for raw in ("<script>for(i=0;i<n;i++){f(i)}</script>", "<script>if(a<b)x='<!--'</SCRIPT >", "<style>a<b{c:'d}</style>", "<script>s='</scripts>'+\"<p>\"</script>", "<svg><title>x</title></svg>", "<video>"):
+        assert t(raw + article) == want, raw
+        assert hx.main_text(model, f"<html><head>{raw}<body>{article}") == "\n\n".join(want), raw
+    assert t(f"<html><head><title>no</title><body>{article}") == want and t(f"<head></head>{article}<script>a<b") == want
+    assert t("<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds") == ["where x=2 holds"]
+
+
 def test_extract_articles_of_the_pages(spark, model):
     import html
     import re
