@@ -5,9 +5,10 @@ representative. The fingerprint has 128 bits. In a repetition each level takes a
 each of sixteen centres, the fingerprints whose partial weight after adding the centre is at most one; with the perfect code's words
 (shifted at random) as centres these lists part the input evenly, and each list goes on to the next level's strip until lists are
 short. Short lists are compared by brute force. Repetitions with fresh strips go on until a pair at the similarity bound is missed with a
-probability of at most 1 - ``recall``; levels and repetitions follow the number of representatives.
+probability of at most 1 - ``recall``, on average over how many bits such a pair differs in and by the radius too, for texts of few
+shingles (whose bits tie) as for long ones; levels and repetitions follow the number of representatives.
 
-Candidates (fingerprints within ``RADIUS`` bits) only form provisional groups; of a list a spanning forest is passed on, not its pairs. Inside a
+Candidates (fingerprints within ``radius`` bits) only form provisional groups; of a list a spanning forest is passed on, not its pairs. Inside a
 provisional group every close pair that isn't linked yet is verified on the shingle sets (Jaccard of at least ``similarity``), so no link
 is lost to the forest, and verified links alone make the classes. Lists and groups beyond a block are split to pairs of blocks, each
 a task of bounded size that gives a forest too. Connected components are found by alternating star operations on tables in the
@@ -31,7 +32,7 @@ from temploom.llm.common import hot_join, work_dir, written
 from temploom.llm.substring_dedup import _mix, _pid, rolling, word_hashes
 
 SHINGLE = 5
-RADIUS = 32  # of 128 bits; a pair at similarity 0.8 differs in 19.4 on average, with deviation 4.1
+FEW = 16  # shingles; sets of no more are looked at one by one for their share of differing bits
 LIST = 2000
 BLOCK = 8192
 VERIFY_BLOCK = 1024
@@ -86,19 +87,57 @@ def _digest(h: np.ndarray) -> bytes:
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
 
+def _share(both: int, a: int, b: int) -> float:
+    """Share of bits in which two sets differ that have ``both`` shingles in common and a and b of their own."""
+
+    def ones(c: int, own: int) -> float:  # probability that a bit is set where c of the common shingles set it
+        return sum(math.comb(own, x) for x in range(own + 1) if 2 * (c + x) > both + own) / 2**own
+
+    return sum(math.comb(both, c) / 2**both * ((p := ones(c, a)) + (q := ones(c, b)) - 2 * p * q) for c in range(both + 1))
+
+
+def worst_share(similarity: float) -> float:
+    """Greatest share of differing bits of pairs at the bound or above: of large sets, or of sets of few shingles, where ties add."""
+    few = [_share(both, a, b) for both in range(1, FEW + 1) for a in range(FEW + 1 - both) for b in range(a, FEW + 1 - both) if a + b and both >= similarity * (both + a + b)]
+    return max([math.acos(2 * similarity / (1 + similarity)) / math.pi, *few])
+
+
+def distances(p: float) -> list[float]:
+    """Probability of each number of differing bits."""
+    return [math.comb(128, d) * p**d * (1 - p) ** (128 - d) for d in range(129)]
+
+
+def radius(recall: float, similarity: float) -> int:
+    """Least number of bits beyond which at most a quarter of 1 - recall of the pairs at the bound lie."""
+    w = distances(worst_share(similarity))
+    return next(r for r in range(129) if sum(w[r + 1 :]) <= (1 - recall) / 4)
+
+
 def plan(n: int, recall: float, similarity: float) -> tuple[int, int]:
     """Levels and repetitions for n representatives."""
     levels = max(0, math.ceil(math.log(max(1.0, n / LIST)) / math.log(16)))
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi  # share of differing bits at the bound
-    q = 1 - p
-    stay = (q**7 + 7 * p * q**6) / 8 + 7 / 8 * (q**7 + p * q**6 + 6 * p * p * q**5)  # both in one ball of the code
     if not levels:
         return 0, 1
-    return levels, math.ceil(math.log(1 - recall) / math.log(1 - stay**levels))
+    w, most = distances(worst_share(similarity)), radius(recall, similarity)
+
+    def stay(p: float) -> float:  # both in one ball of the code
+        q = 1 - p
+        return (q**7 + 7 * p * q**6) / 8 + 7 / 8 * (q**7 + p * q**6 + 6 * p * p * q**5)
+
+    through = [stay(d / 128) ** levels for d in range(most + 1)]
+    enough = lambda times: sum(w[most + 1 :]) + sum(v * (1 - s) ** times for v, s in zip(w, through)) <= 1 - recall
+    high = 1
+    while not enough(high):
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if enough(mid) else (mid, high)
+    return levels, high
 
 
 def candidates(reps: DataFrame, n: int, recall: float, similarity: float, path: str, seed: int = 11) -> DataFrame:
-    """Edges x < y between representatives (rid, a, b) whose fingerprints are within RADIUS: a forest of each list."""
+    """Edges x < y between representatives (rid, a, b) whose fingerprints are within the radius: a forest of each list."""
     levels, times = plan(n, recall, similarity)
     rnd = np.random.default_rng(seed)
     strips = [[rnd.permutation(128)[: 7 * levels].reshape(levels, 7), rnd.integers(0, 128, levels)] for _ in range(times)]
@@ -121,7 +160,7 @@ def candidates(reps: DataFrame, n: int, recall: float, similarity: float, path:
     long_ = written(long_, "long_lists", path)
     side = F.broadcast(long_) if long_.count() <= 100_000 else long_
     lists = _blocked(lists.join(side, F.col("bucket") == F.col("_b"), "left").withColumn("nb", F.coalesce("nb", F.lit(1))).drop("_b"))
-    edges = lists.groupBy("bucket", "bi", "bj").applyInArrow(_forest, "x long, y long")
+    edges = lists.groupBy("bucket", "bi", "bj").applyInArrow(_forest(radius(recall, similarity)), "x long, y long")
     return edges.distinct()
 
 
@@ -132,33 +171,36 @@ def _blocked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bi", F.least("_o", "_other")).withColumn("bj", F.greatest("_o", "_other")).drop("_o", "_other", "nb")
 
 
-def _close(f: np.ndarray, i: int, j: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within RADIUS of rows i.. and j.. of one tile."""
+def _close(f: np.ndarray, i: int, j: int, step: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within ``most`` bits of rows i.. and j.. of one tile."""
     p, q = f[i : i + step], f[j : j + step]
     d = np.bitwise_count(p[:, None, 0] ^ q[None, :, 0]) + np.bitwise_count(p[:, None, 1] ^ q[None, :, 1])
-    x, y = np.nonzero(d <= RADIUS)
+    x, y = np.nonzero(d <= most)
     x, y = x + i, y + j
     ok = x < y
     return x[ok], y[ok]
 
 
-def _forest(t: pa.Table) -> pa.Table:
-    rid = np.array(t["rid"], np.int64)
-    order = np.argsort(rid)
-    rid = rid[order]
-    f = np.stack([np.array(t["a"], np.int64)[order], np.array(t["b"], np.int64)[order]], 1).view(np.uint64)
-    label, step = np.arange(len(rid)), 512
-    for i in range(0, len(rid), step):
-        for j in range(i, len(rid), step):
-            x, y = _close(f, i, j, step)
-            # Pairs inside a group found so far drop out at once, so dense lists cost no loop over their pairs.
-            while (m := label[x] != label[y]).any():
-                x, y = x[m], y[m]
-                u, v = int(label[x[0]]), int(label[y[0]])
-                label[label == max(u, v)] = min(u, v)
-    loose = np.flatnonzero(label != np.arange(len(rid)))
-    out = (rid[label[loose]], rid[loose])
-    return pa.table({"x": pa.array(out[0], pa.int64()), "y": pa.array(out[1], pa.int64())})
+def _forest(most: int):
+    def run(t: pa.Table) -> pa.Table:
+        rid = np.array(t["rid"], np.int64)
+        order = np.argsort(rid)
+        rid = rid[order]
+        f = np.stack([np.array(t["a"], np.int64)[order], np.array(t["b"], np.int64)[order]], 1).view(np.uint64)
+        label, step = np.arange(len(rid)), 512
+        for i in range(0, len(rid), step):
+            for j in range(i, len(rid), step):
+                x, y = _close(f, i, j, step, most)
+                # Pairs inside a group found so far drop out at once, so dense lists cost no loop over their pairs.
+                while (m := label[x] != label[y]).any():
+                    x, y = x[m], y[m]
+                    u, v = int(label[x[0]]), int(label[y[0]])
+                    label[label == max(u, v)] = min(u, v)
+        loose = np.flatnonzero(label != np.arange(len(rid)))
+        out = (rid[label[loose]], rid[loose])
+        return pa.table({"x": pa.array(out[0], pa.int64()), "y": pa.array(out[1], pa.int64())})
+
+    return run
 
 
 def components(edges: DataFrame, path: str, most: int = 60) -> DataFrame:
@@ -181,7 +223,7 @@ def components(edges: DataFrame, path: str, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _verify(similarity: float):
+def _verify(similarity: float, most: int):
     def run(t: pa.Table) -> pa.Table:
         rid = np.array(t["rid"], np.int64)
         order = np.argsort(rid)
@@ -193,7 +235,7 @@ def _verify(similarity: float):
         label, step = np.arange(len(rid)), 256
         for i in range(0, len(rid), step):
             for j in range(i, len(rid), step):
-                x, y = _close(f, i, j, step)
+                x, y = _close(f, i, j, step, most)
                 ok = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y])
                 x, y = x[ok], y[ok]
                 for r in np.unique(x):
@@ -264,7 +306,7 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.98,
     members = members.join(reps, F.col("node") == F.col("rid")).select(F.col("first.pid").alias("pid"), F.col("first.idx").alias("idx"), "digest", "rid", "root", "nb", "a", "b")
     members.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4), "pid").write.partitionBy("pid").parquet(f"{path}/members")
     sets = _blocked(_member_sets(docs, f"{path}/members"))
-    links = sets.groupBy("root", "bi", "bj").applyInArrow(_verify(similarity), "x long, y long")
+    links = sets.groupBy("root", "bi", "bj").applyInArrow(_verify(similarity, radius(recall, similarity)), "x long, y long")
     final = components(links, f"{path}/final")
     named = reps.join(final, F.col("rid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rid"))
     class_ = named.groupBy("root").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))

@@ -134,6 +134,20 @@ def test_near_classes_of_the_documents(spark):
     assert sorted(((x.doc_id, x.class_id) for x in nd.near_classes(docs).collect()), key=str) == classes_brute(rows)
 
 
+def test_candidates_keep_the_promised_recall(spark, monkeypatch):
+    monkeypatch.setattr(nd, "LIST", 20)
+    rng, rows, n = np.random.default_rng(3), [], 3000
+    for i in range(n // 2):  # four shingles inside five: similarity 0.8 exactly
+        h = rng.integers(0, 2**63, 5).astype(np.uint64)
+        rows += [(2 * i, *nd.fingerprint(np.sort(h))), (2 * i + 1, *nd.fingerprint(np.sort(h[:4])))]
+    base = f"{spark.conf.get('spark.checkpoint.dir')}/recall"
+    spark.createDataFrame(rows, "rid long, a long, b long").write.parquet(f"{base}/reps")
+    assert nd.plan(n, 0.98, 0.8)[0] == 2
+    edges = nd.candidates(spark.read.parquet(f"{base}/reps"), n, 0.98, 0.8, base)
+    found = edges.filter("x % 2 = 0 and y = x + 1").count()
+    assert found >= 0.97 * n / 2
+
+
 # --- language ID -------------------------------------------------------------------------------------------------------------
 
 
