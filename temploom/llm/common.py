@@ -1,6 +1,7 @@
 """What several operators share: the shared work folder, hot-key joins, word patterns."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,13 +15,23 @@ HOT_SHARE = 1 / 1000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the shared folder that the session names in spark.checkpoint.dir; a local one only where that is unset."""
+    """A new folder below the shared folder that the session names in spark.checkpoint.dir; a local one only in local mode where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         base = tempfile.mkdtemp(prefix="temploom-")
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+def parts_for(df: DataFrame, part_bytes: int = 64_000_000) -> int:
+    """Partitions of an exchange whose parts each meet one task: they follow the input's size as Spark estimates it from its files."""
+    least = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
+    return max(least, -(-size // part_bytes)) if size < 1 << 56 else least  # more: a source that can't tell
+
+
 def written(df: DataFrame, name: str, base: str | None = None) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, survives lost executors and is computed once."""
     path = f"{base or work_dir(df.sparkSession)}/{name}"

@@ -3,16 +3,19 @@
 N-grams are of ORDER characters (a text begins after ORDER - 1 start marks). Every trusted text is counted: a task counts a chunk of
 texts at once, the counts are summed by n-gram, and lower orders hold the numbers of distinct left extensions. Discounts come
 from the numbers of n-grams counted once to four times. The probability of an n-gram is (count - discount) / total of its context plus
-the context's back-off weight times the probability of its suffix; all of that is joins of count tables keyed by n-gram. So is
-scoring: the distinct n-grams of all documents are joined with the model (those not seen by their suffixes, order by order), then each chunk of documents sends its distinct n-gram hashes
-in ranges to the scores and gets them back in the same order, through a table in the shared folder, as a hot n-gram would else be
-joined once for each of its occurrences. A document's perplexity is exp of minus its mean log probability.
+the context's back-off weight times the probability of its suffix; all of that is joins of count tables keyed by n-gram.
+
+For scoring, each chunk of documents sends hashes of its distinct n-grams, of all their suffixes and of all contexts, in ranges of the
+hash, to where the model's rows of that range are, and gets probability and back-off weight of each back in the same order, through a
+table in the shared folder: a hot n-gram costs a chunk one hash, not one row for each occurrence. What an order hasn't seen backs off
+inside the chunk. A document's perplexity is exp of minus its mean log probability.
 
 A document is kept if its perplexity is at most the ``quantile`` of its language's trusted, held-out documents (those not trained on;
 where a language has none, all trusted ones' quantile). Quantiles are Spark's mergeable sketches.
 
 Nulls: a null or empty text has null perplexity and isn't kept; a null lang is a language of its own. No trusted text: perplexity and
-threshold are null and nothing is kept. Repeated rows count as often as they come. Empty table: no rows. Memory follows one chunk.
+threshold are null and nothing is kept. Repeated rows count as often as they come. Empty table: no rows. Texts are counted in pieces of
+BLOCK characters, so memory follows one chunk, or one text if that is longer.
 """
 from __future__ import annotations
 
@@ -23,41 +26,91 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from temploom.llm.common import work_dir, written
+from temploom.llm.common import parts_for, work_dir, written
 from temploom.llm.substring_dedup import _Back as _Answers
 from temploom.llm.substring_dedup import _crc, _cuts, _mix, _pid
 
-ORDER = 6
+ORDER = 5
 START = "\x02"
-CHUNK = 3_000_000  # characters, but for a longer single text
+CHUNK = 12_000_000  # characters sent at once, but for a longer single text
+BLOCK = 2_000_000  # characters counted at once
 BATCH = 100_000  # n-grams made strings at once
-_SENT = "pid int, chunk int, part int, crc long, low binary, flags binary"
-
+SYMBOLS = 1_114_112  # what the unigrams leave goes evenly to all of Unicode's code points
+_SENT = "pid int, chunk int, part int, crc long, low binary"
+_BACK = "pid int, chunk int, part int, crc long, hits binary"
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of all texts: code points (each piece after its ORDER - 1 characters of context), text number and length by piece."""
+    at, size, held = [], 0, []
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        c = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.where(c == 0, np.uint32(0xFFFD), c), np.array([i for i, _ in at], np.int64), np.array([n for _, n in at], np.int64)
+
+    for i, t in enumerate(texts):
+        for k in range(0, len(t), BLOCK):
+            part = t[k : k + BLOCK]
+            if held and size + len(part) > BLOCK:
+                yield block()
+                at, size, held = [], 0, []
+            held.append((t[k - ORDER + 1 : k] if k else START * (ORDER - 1)) + part)
+            at.append((i, len(part)))
+            size += len(part)
+    if held:
+        yield block()
+
+
+def _starts(n: np.ndarray) -> np.ndarray:
+    """Places of the n-grams that lie in one piece."""
+    size = n + ORDER - 1
+    ok = np.ones(int(size.sum()), bool)
+    ends = np.cumsum(size)
+    for k in range(1, ORDER):
+        ok[ends - k] = False
+    return np.flatnonzero(ok)
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts, each after ORDER - 1 start marks, and the texts' lengths in characters."""
-    joined = "".join(START * (ORDER - 1) + t for t in texts).encode("utf-32-le", "surrogatepass")
-    c = np.frombuffer(joined, np.uint32)
-    return np.where(c == 0, np.uint32(0xFFFD), c), np.array([len(t) for t in texts], np.int64)
 
+def _keys(c: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """A number for the n-gram from each place that is equal just for equal n-grams, and the alphabet that decodes it.
 
-def _hash(c: np.ndarray) -> np.ndarray:
-    """64-bit hash of the ORDER code points from each place; two different n-grams agree with probability 2**-64."""
-    h = np.zeros(len(c) - ORDER + 1, np.uint64)
+    With too large an alphabet for that it is a 64-bit hash and can't be decoded.
+    """
+    count = np.bincount(c)
+    alphabet = np.flatnonzero(count)
+    size = len(c) - ORDER + 1
+    if len(alphabet) ** ORDER >= 2**63:
+        return _hash(np.lib.stride_tricks.sliding_window_view(c, ORDER)), None
+    rank = np.zeros(len(count), np.uint64)
+    rank[alphabet] = np.arange(len(alphabet))
+    r, key = rank[c], np.zeros(size, np.uint64)
     for k in range(ORDER):
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + c[k : len(h) + k].astype(np.uint64) + np.uint64(1))
+        key *= np.uint64(len(alphabet))
+        key += r[k : k + size]
+    return key, alphabet
+
+
+def _hash(grams: np.ndarray) -> np.ndarray:
+    """64-bit hash of rows of code points, their number included; two different n-grams agree with probability 2**-64."""
+    h = np.full(len(grams), grams.shape[1], np.uint64)
+    for k in range(grams.shape[1]):
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + grams[:, k].astype(np.uint64) + np.uint64(1))
     return h
 
 
-def _ends(n: np.ndarray) -> np.ndarray:
-    """Mask of the n-gram starts that lie in one text."""
-    size = n + ORDER - 1
-    ok = np.ones(int(size.sum()), bool)
-    start = np.cumsum(size) - size
-    for k in range(ORDER - 1):
-        at = start + size - 1 - k
-        ok[at[at >= start]] = False
-    return ok[: len(ok) - ORDER + 1] if len(ok) >= ORDER else np.zeros(0, bool)
+def _distinct(c: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams (rows of code points), their counts, their sorted keys and the key of each place."""
+    keys, alphabet = _keys(c)
+    keys = keys[at]
+    if alphabet is None:
+        u, first, count = np.unique(keys, return_index=True, return_counts=True)
+        return c[at[first][:, None] + np.arange(ORDER)], count, u, keys
+    u, count = np.unique(keys, return_counts=True)
+    out, rest, base = np.empty((len(u), ORDER), np.uint32), u, np.uint64(len(alphabet))
+    for k in range(ORDER - 1, -1, -1):
+        rest, last = np.divmod(rest, base)
+        out[:, k] = alphabet[last.astype(np.int64)]
+    return out, count, u, keys
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -74,22 +127,19 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield b.slice(at), texts[at:]
 
 
-def _grams(c: np.ndarray, at: np.ndarray) -> pa.Array:
-    u = np.ascontiguousarray(c[at[:, None] + np.arange(ORDER)]).view(f"<U{ORDER}").ravel()
-    return pa.array(u.tolist(), pa.string())
+def _strings(grams: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(grams).view(f"<U{ORDER}").ravel().tolist(), pa.string())
 
 
 def _count(texts: DataFrame) -> DataFrame:
-    """gram, c: distinct n-grams of all texts with their counts, chunk by chunk and then summed."""
+    """gram, c: distinct n-grams of all texts with their counts, block by block and then summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in chunks(batches):
-            c, n = _codes(t)
-            ok = np.flatnonzero(_ends(n))
-            if len(ok):
-                _, first, count = np.unique(_hash(c)[ok], return_index=True, return_counts=True)
-                for k in range(0, len(first), BATCH):
-                    yield pa.RecordBatch.from_arrays([_grams(c, ok[first[k : k + BATCH]]), pa.array(count[k : k + BATCH], pa.int64())], names=["gram", "c"])
+            for c, _, n in _pieces(t):
+                grams, count, _, _ = _distinct(c, _starts(n))
+                for k in range(0, len(grams), BATCH):
+                    yield pa.RecordBatch.from_arrays([_strings(grams[k : k + BATCH]), pa.array(count[k : k + BATCH], pa.int64())], names=["gram", "c"])
 
     return texts.select("text").mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
@@ -110,8 +160,7 @@ def model_tables(trusted: DataFrame, path: str) -> tuple[list[DataFrame], list[D
         ctx = t.groupBy("ctx").agg(F.sum("c").alias("total"), (F.sum("off") / F.sum("c")).alias("g"))
         t = t.join(ctx, "ctx").withColumn("own", (F.col("c") - F.col("off")) / F.col("total"))
         if n == 1:
-            # What the unigrams leave goes evenly to all of Unicode's code points.
-            t = t.withColumn("p", F.col("own") + F.col("g") / 1_114_112)
+            t = t.withColumn("p", F.col("own") + F.col("g") / SYMBOLS)
         else:
             t = t.join(probs[-1].withColumnRenamed("gram", "_s").withColumnRenamed("p", "_p"), F.substring("gram", 2, n - 1) == F.col("_s")).withColumn("p", F.col("own") + F.col("g") * F.col("_p"))
         probs.append(written(t.select("gram", "p"), f"p{n}", path))
@@ -119,76 +168,132 @@ def model_tables(trusted: DataFrame, path: str) -> tuple[list[DataFrame], list[D
     return probs, backs
 
 
-def score_grams(grams: DataFrame, probs: list[DataFrame], backs: list[DataFrame], path: str) -> DataFrame:
-    """gram, logp for distinct n-grams of the highest order, seen in training or not.
-
-    Only what an order hasn't seen goes on, as distinct suffixes, to the next lower order; the scores then come back up.
-    """
-    found, unseen, level = [], [], grams.select("gram")
-    for n in range(ORDER, 0, -1):
-        t = written(level.join(probs[n - 1], "gram", "left"), f"level{n}", path)
-        found.append(t.filter("p is not null"))
-        unseen.append(t.filter("p is null").select("gram", F.substring("gram", 1, n - 1).alias("ctx"), F.substring("gram", 2, n - 1).alias("_s")))
-        level = unseen[-1].select(F.col("_s").alias("gram")).distinct()
+def model_rows(probs: list[DataFrame], backs: list[DataFrame]) -> DataFrame:
+    """gram, p (null: not seen), g (null: not seen as a context), for n-grams of all orders but the empty one."""
     out = None
     for n in range(1, ORDER + 1):
-        t = unseen[ORDER - n].join(backs[n - 1], "ctx", "left").withColumn("g", F.coalesce("g", F.lit(1.0)))
-        if out is None:
-            t = t.withColumn("_p", F.lit(1 / 1_114_112))
-        else:
-            t = t.join(out.select(F.col("gram").alias("_s"), F.col("p").alias("_p")), "_s")
-        out = found[ORDER - n].select("gram", "p").unionByName(t.select("gram", (F.col("g") * F.col("_p")).alias("p")))
+        t = probs[n - 1]
         if n < ORDER:
-            out = written(out, f"scored{n}", path)
-    return out.select("gram", F.log("p").alias("logp"))
+            t = t.join(backs[n].withColumnRenamed("ctx", "gram"), "gram", "full")
+        else:
+            t = t.withColumn("g", F.lit(None).cast("double"))
+        out = t.select("gram", "p", "g") if out is None else out.unionByName(t.select("gram", "p", "g"))
+    return out
 
 
-def _scores_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    text = "".join(table["gram"].to_pylist()).encode("utf-32-le", "surrogatepass")
-    c = np.frombuffer(text, np.uint32).reshape(-1, ORDER)
-    h = np.zeros(len(c), np.uint64)
-    for k in range(ORDER):
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + c[:, k].astype(np.uint64) + np.uint64(1))
-    order = np.argsort(h)
-    return h[order], np.array(table["logp"], np.float64)[order].astype(np.float32)
+class Grams:
+    """The distinct n-grams of a chunk and, order by order, their distinct suffixes with what has to be looked up for them."""
+
+    def __init__(self, grams: np.ndarray) -> None:
+        self.orders = []  # (hash, hash of the context, place of the suffix in the next lower order), from ORDER down
+        while True:
+            own, ctx = _hash(grams), _hash(grams[:, :-1])
+            if grams.shape[1] == 1:
+                self.orders.append((own, None, None))
+                break
+            low = grams[:, 1:]
+            _, first, place = np.unique(_hash(low), return_index=True, return_inverse=True)
+            self.orders.append((own, ctx, place))
+            grams = low[first]
+
+    def keys(self) -> np.ndarray:
+        return np.unique(np.concatenate([x for own, ctx, _ in self.orders for x in (own, ctx) if x is not None]))
+
+    def logs(self, keys: np.ndarray, p: np.ndarray, g: np.ndarray, rest: float) -> np.ndarray:
+        """Log probability of each n-gram from the looked up values, NaN where there are none; rest: what an unseen character gets."""
+        low = None
+        for own, ctx, place in reversed(self.orders):
+            mine = p[np.searchsorted(keys, own)].astype(np.float64)
+            if low is None:
+                back = np.full(len(own), rest)
+            else:
+                w = g[np.searchsorted(keys, ctx)].astype(np.float64)
+                back = np.where(np.isnan(w), 1.0, w) * low[place]
+            low = np.where(np.isnan(mine), back, mine)
+        return np.log(low)
+
+
+class _Chunk:
+    """Texts of a chunk as blocks over the chunk's distinct n-grams."""
+
+    def __init__(self, texts: list[str], places: bool) -> None:
+        blocks, every, hashes = [], [], []
+        for c, text, n in _pieces(texts):
+            grams, _, u, keys = _distinct(c, _starts(n))
+            every.append(grams)
+            hashes.append(_hash(grams))
+            blocks.append((text, n, _places(u, keys) if places else None))
+        self.grams = None
+        if not blocks:
+            return
+        hashes_ = np.concatenate(hashes)
+        u, first = np.unique(hashes_, return_index=True)
+        self.grams = Grams(np.concatenate(every)[first])
+        self.blocks = [(text, n, np.searchsorted(u, h), at) for (text, n, at), h in zip(blocks, hashes)]
+
+    def sums(self, logp: np.ndarray, n_texts: int) -> np.ndarray:
+        """Sum of the logs by text."""
+        out = np.zeros(n_texts)
+        for text, n, mine, at in self.blocks:
+            each = logp[mine][at]
+            np.add.at(out, text, np.add.reduceat(each, np.cumsum(n) - n))
+        return out
+
+
+def _asked(keys: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    return [(k, x) for k, x in enumerate(np.split(keys, _cuts(keys, parts))) if len(x)]
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, path: str | None = None, carry: tuple[str, ...] = ("lang",)) -> DataFrame:
     """Per document: doc_id, carry, n_chars, perplexity."""
     spark = docs.sparkSession
-    path, parts = path or work_dir(spark), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    probs, backs = model_tables(trusted, path)
+    path = path or work_dir(spark)
     rows = docs.select("doc_id", *carry, F.col("text").cast("string").alias("text"))
-    scores = written(score_grams(_count(rows), probs, backs, path), "scores", path)
+    parts = parts_for(rows)
+    probs, backs = model_tables(trusted, path)
+    over = backs[0].head()  # the empty context, one row
+    rest = (over.g if over else 1.0) / SYMBOLS
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array([-(-(k << 64) // parts) for k in range(1, parts)], np.uint64)
         for b in batches:
-            if b.num_rows:
-                h, p = _scores_of(pa.table(b))
-                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(_edges(parts), h, side="right"), pa.int32()), pa.array(h.view(np.int64)), pa.array(p)], names=["part", "h", "logp"])
+            text = b.column(b.schema.get_field_index("gram")).to_pylist()
+            size, h = np.array([len(x) for x in text]), np.zeros(len(text), np.uint64)
+            for n in np.unique(size):
+                at = np.flatnonzero(size == n)
+                c = np.frombuffer("".join([text[i] for i in at]).encode("utf-32-le", "surrogatepass"), np.uint32)
+                h[at] = _hash(c.reshape(-1, n))
+            value = [b.column(b.schema.get_field_index(x)).cast(pa.float32()) for x in ("p", "g")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, h, side="right"), pa.int32()), pa.array(h.view(np.int64)), *value], names=["part", "h", "p", "g"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = _pid()
         for no, (_, t) in enumerate(chunks(batches)):
-            c, n = _codes(t)
-            ok = _ends(n)
-            if ok.any():
-                u = np.unique(_hash(c)[ok])
-                crc = _crc(u)
-                out = [(pid, no, k, crc, x.tobytes(), b"") for k, x in enumerate(np.split(u, _cuts(u, parts))) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["pid", "chunk", "part", "crc", "low", "flags"])
+            x = _Chunk(t, False)
+            if x.grams:
+                keys = x.grams.keys()
+                crc = _crc(keys)
+                out = [(pid, no, k, crc, y.tobytes()) for k, y in _asked(keys, parts)]
+                yield pa.RecordBatch.from_arrays([pa.array(y, k) for y, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["pid", "chunk", "part", "crc", "low"])
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         h = np.array(known["h"], np.int64).view(np.uint64)
         order = np.argsort(h)
-        h, p = h[order], np.array(known["logp"], np.float32)[order]
-        hits = [p[np.searchsorted(h, np.frombuffer(x, np.uint64))].tobytes() for x in asked["low"].to_pylist()]
+        h = h[order]
+        values = [np.concatenate([known[x].to_numpy().astype(np.float32)[order], np.full(1, np.nan, np.float32)]) for x in ("p", "g")]
+        hits = []
+        for x in asked["low"].to_pylist():
+            u = np.frombuffer(x, np.uint64)
+            at = np.minimum(np.searchsorted(h, u), len(h))
+            if len(h):
+                at = np.where(h[np.minimum(at, len(h) - 1)] == u, at, len(h))
+            hits.append(b"".join(v[at].tobytes() for v in values))
         return pa.table({"pid": asked["pid"], "chunk": asked["chunk"], "part": asked["part"], "crc": asked["crc"], "hits": pa.array(hits, pa.binary())})
 
     back = f"{path}/answers"
-    known = scores.mapInArrow(hashed, "part int, h long, logp float")
+    known = model_rows(probs, backs).mapInArrow(hashed, "part int, h long, p float, g float")
     asked = rows.select("text").mapInArrow(send, _SENT)
-    asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(answer, "pid int, chunk int, part int, crc long, hits binary").repartition(max(1, parts // 4), "pid").write.partitionBy("pid").parquet(back)
+    asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(answer, _BACK).repartition(max(1, parts // 4), "pid").write.partitionBy("pid").parquet(back)
 
     kinds = {f.name: f for f in rows.schema.fields}
     from pyspark.sql.pandas.types import to_arrow_type
@@ -199,54 +304,44 @@ def perplexities(docs: DataFrame, trusted: DataFrame, path: str | None = None, c
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Answers(back, _pid(), parts)
         for no, (b, t) in enumerate(chunks(batches)):
-            c, n = _codes(t)
-            ok = _ends(n)
+            x, n = _Chunk(t, True), [len(y) for y in t]
             value: list = [None] * len(t)
-            if ok.any():
-                h = _hash(c)
-                u = np.unique(h[ok])
-                crc, logp = _crc(u), []
-                for k, x in enumerate(np.split(u, _cuts(u, parts))):
-                    if len(x):
-                        was, hits = held.rows.get((no, k), (None, b""))
-                        if was != crc:
-                            raise RuntimeError("the documents came in another order than before; write them to a table first")
-                        logp.append(np.frombuffer(hits, np.float32))
-                each = np.zeros(len(c))
-                at = np.flatnonzero(ok)
-                each[at] = np.concatenate(logp)[_places(u, h[at])]
-                size = n + ORDER - 1
-                total = np.add.reduceat(each, np.cumsum(size) - size)
+            if x.grams:
+                keys = x.grams.keys()
+                crc, p, g = _crc(keys), [], []
+                for k, u in _asked(keys, parts):
+                    was, hits = held.rows.get((no, k), (None, b""))
+                    if was != crc:
+                        raise RuntimeError("the documents came in another order than before; write them to a table first")
+                    both = np.frombuffer(hits, np.float32)
+                    p.append(both[: len(u)])
+                    g.append(both[len(u) :])
+                total = x.sums(x.grams.logs(keys, np.concatenate(p), np.concatenate(g), rest), len(t))
                 value = [float(np.exp(-s / m)) if m else None for s, m in zip(total, n)]
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(x)) for x in keep], pa.array(n, pa.int64()), pa.array(value, pa.float64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in keep], pa.array(n, pa.int64()), pa.array(value, pa.float64())], schema=schema)
 
     ddl = ", ".join(f"`{c}` {kinds[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(score, f"{ddl}, n_chars long, perplexity double")
 
 
-def _edges(parts: int) -> np.ndarray:
-    return np.array([-(-(k << 64) // parts) for k in range(1, parts)], np.uint64)
-
-
-def _places(u: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Index in sorted u of each h: by a direct table on the upper bits, by search where several share a slot."""
-    bits = np.uint64(64 - 20)
-    slot = (u >> bits).astype(np.int64)
-    table = np.zeros(1 << 20, np.int64)
-    table[slot] = np.arange(len(u))
-    out = table[(h >> bits).astype(np.int64)]
-    miss = np.flatnonzero(u[out] != h)
-    out[miss] = np.searchsorted(u, h[miss])
+def _places(u: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Index in sorted u of each key: by a direct table on mixed bits, by search where several share a slot."""
+    slot = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+    table = np.zeros(1 << 20, np.int32)
+    table[slot(u)] = np.arange(len(u))
+    out = table[slot(keys)]
+    miss = np.flatnonzero(u[out] != keys)
+    out[miss] = np.searchsorted(u, keys[miss])
     return out
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, small: int = 2_000_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, small: int = 2_000_000) -> DataFrame:
     """Per document: doc_id, lang, n_chars, perplexity, threshold, keep. Trusted: labelled quality 1 and not toxic."""
     base = work_dir(docs.sparkSession)
     good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_q"), F.max("toxic").alias("_t")).filter("_q = 1 and coalesce(_t, 0) = 0").select("doc_id")
     good = written(good, "trusted", base)
     side = F.broadcast(good) if good.count() <= small else good
-    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 8) == 0
+    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4) == 0
     trusted = docs.join(side, "doc_id", "left_semi")
     scored = written(perplexities(docs, trusted.filter(~held).select("text"), base), "scored", base)
     if docs.sparkSession.read.parquet(f"{base}/counts").isEmpty():
