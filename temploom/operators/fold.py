@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+
 
 @dataclass(slots=True)
 class Cluster:
@@ -32,38 +34,138 @@ class Cluster:
             self.members[member] = None
 
 
+class _Index:
+    """Finds a leaf's templates that can reach the threshold, without a look at each.
+
+    A line that reaches it differs from the template in at most ``slack`` positions, so of any slack + 1 literal positions of the
+    template it agrees in one: each template is listed under that many (position, token) pairs, those with the shortest lists. Templates
+    with fewer literals are met by every line. Rows of ``codes`` are the clusters in scan order; the wildcard has code 0.
+    """
+
+    def __init__(self, n: int, threshold: float, wildcard: str) -> None:
+        self.n, self.slack = n, n - next(m for m in range(n + 1) if m / n >= threshold or m == n)
+        self.ids = {wildcard: 0}
+        self.codes = np.zeros((64, n), np.int32)
+        self.uids: list[int] = []  # by row
+        self.rows: dict[int, int] = {}  # by uid
+        self.under: dict[int, list[int]] = {}  # positions by uid
+        self.lists: dict[tuple[int, int], dict[int, None]] = {}
+        self.always: dict[int, None] = {}
+        self.made = 0
+
+    def append(self, texts: list[str]) -> None:
+        row, uid = len(self.uids), self.made
+        self.made += 1
+        if row == len(self.codes):
+            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
+        self.codes[row] = [self.ids.setdefault(t, len(self.ids)) for t in texts]
+        self.uids.append(uid)
+        self.rows[uid], self.under[uid] = row, []
+        self._cover(uid, self.codes[row].tolist())
+
+    def _cover(self, uid: int, codes: list[int]) -> None:
+        held = self.under[uid]
+        if len(held) <= self.slack:
+            free = [p for p in range(self.n) if codes[p] and p not in held]
+            free.sort(key=lambda p: len(self.lists.get((p, codes[p]), ())))
+            for p in free[: self.slack + 1 - len(held)]:
+                self.lists.setdefault((p, codes[p]), {})[uid] = None
+                held.append(p)
+        if len(held) <= self.slack:
+            self.always[uid] = None
+
+    def _unlist(self, uid: int, position: int, code: int) -> None:
+        at = self.lists[position, code]
+        del at[uid]
+        if not at:
+            del self.lists[position, code]
+
+    def generalize(self, row: int, texts: list[str]) -> None:
+        uid, old = self.uids[row], self.codes[row].tolist()
+        new = [self.ids[t] for t in texts]
+        for p in [p for p in self.under[uid] if not new[p]]:
+            self._unlist(uid, p, old[p])
+            self.under[uid].remove(p)
+        self.codes[row] = new
+        self._cover(uid, new)
+
+    def remove(self, row: int) -> None:
+        """The last row takes its place."""
+        uid, codes = self.uids[row], self.codes[row].tolist()
+        for p in self.under.pop(uid):
+            self._unlist(uid, p, codes[p])
+        self.always.pop(uid, None)
+        del self.rows[uid]
+        last = self.uids.pop()
+        if last != uid:
+            self.codes[row] = self.codes[len(self.uids)]
+            self.uids[row], self.rows[last] = last, row
+
+    def best(self, texts: list[str]) -> tuple[int | None, float]:
+        """Row and similarity of the most similar template, the earliest on ties; exact if any reaches the threshold."""
+        x = [self.ids.get(t, -1) for t in texts]
+        lists = [at for k in enumerate(x) if (at := self.lists.get(k))]
+        size = len(self.uids)
+        if sum(map(len, lists)) + len(self.always) > size // 4:
+            rows, codes = None, self.codes[:size]
+        else:
+            rows = sorted(self.rows[u] for u in set(self.always).union(*lists))
+            if not rows:
+                return None, -1.0
+            codes = self.codes[rows]
+        hits = ((codes == np.array(x, np.int32)) | (codes == 0)).sum(1)
+        k = int(hits.argmax())
+        return (k if rows is None else rows[k]), int(hits[k]) / self.n
+
+
 class LeafFold:
     """Clusters of a leaf in scan order.
 
     A memo from token vector to cluster holds until a template changes or a cluster goes: repeats of a known vector then need no
-    scan. It is cleared at MEMO entries, so memory follows the number of templates and not the number of records.
+    scan. It is cleared at MEMO entries, so memory follows the number of templates and not the number of records. Beyond SCAN clusters
+    an index takes the place of the scan.
     """
 
     MEMO = 100_000
+    SCAN = 24
 
     def __init__(self, threshold: float, cap: int, wildcard: str) -> None:
         self.threshold, self.cap, self.wildcard = threshold, cap, wildcard
         self.clusters: list[Cluster] = []
         self.memo: dict[str, Cluster] = {}
+        self.index: _Index | None = None
 
     def seed(self, c: Cluster) -> None:
         if len(self.clusters) >= self.cap:
             self._evict()
+        self.put(c)
+
+    def put(self, c: Cluster) -> None:
         self.clusters.append(c)
+        if self.index is not None:
+            self.index.append(c.texts)
+        elif len(self.clusters) > self.SCAN and c.texts:
+            self.index = _Index(len(c.texts), self.threshold, self.wildcard)
+            for x in self.clusters:
+                self.index.append(x.texts)
 
     def _evict(self) -> None:
         at = min(range(len(self.clusters)), key=lambda i: self.clusters[i].last_used)
         self.clusters[at] = self.clusters[-1]
         self.clusters.pop()
+        if self.index is not None:
+            self.index.remove(at)
         self.memo.clear()
 
-    def best(self, texts: list[str]) -> tuple[Cluster | None, float]:
-        """Most similar cluster, the earliest on ties."""
+    def best(self, texts: list[str]) -> tuple[int | None, float]:
+        """Place and similarity of the most similar cluster, the earliest on ties; exact if any reaches the threshold."""
+        if self.index is not None:
+            return self.index.best(texts)
         n, w, top, best = len(texts), self.wildcard, -1.0, None
-        for c in self.clusters:
+        for i, c in enumerate(self.clusters):
             sim = sum(a == b or a == w for a, b in zip(c.texts, texts)) / n if n else 1.0
             if sim > top:
-                top, best = sim, c
+                top, best = sim, i
                 if sim == 1.0:
                     break
         return best, top
@@ -73,19 +175,21 @@ class LeafFold:
         if c is not None:
             c.observe(seq, event_ms, observed_ms, member)
             return c, "None"
-        c, sim = self.best(texts)
-        if c is not None and sim >= self.threshold:
-            w = self.wildcard
+        at, sim = self.best(texts)
+        if at is not None and sim >= self.threshold:
+            c, w = self.clusters[at], self.wildcard
             new = [a if a == b or a == w else w for a, b in zip(c.texts, texts)]
             update = "None"
             if new != c.texts:
                 c.texts, update = new, "TemplateChanged"
+                if self.index is not None:
+                    self.index.generalize(at, new)
                 self.memo.clear()
         else:
             if len(self.clusters) >= self.cap:
                 self._evict()
             c = Cluster(seq, None, list(texts), lead, trail, suffix, created_ms=observed_ms, updated_ms=observed_ms)
-            self.clusters.append(c)
+            self.put(c)
             update = "Created"
         c.observe(seq, event_ms, observed_ms, member)
         if len(self.memo) >= self.MEMO:

@@ -30,7 +30,7 @@ class LeafProcessor(StatefulProcessor):
         fold, out = LeafFold(*self.args), []
         if self.state.exists():
             for x in json.loads(self.state.get()[0]):
-                fold.clusters.append(Cluster(**(x | {"members": dict.fromkeys(x["members"])})))
+                fold.put(Cluster(**(x | {"members": dict.fromkeys(x["members"])})))
         batch = pd.concat(list(rows)).sort_values("seq").astype(object)
         batch = batch.where(batch.notna(), None)
         for r in batch.itertuples(index=False):
