@@ -5,27 +5,30 @@ those at a boundary are its prefixes and suffixes) and from a lexicon of trainin
 Forward-backward gives each word's language marginals, also in code-switched text; a document's language has the greatest sum of
 marginals, its score is the mean of them.
 
-The model is fitted on the driver by the likelihood's gradient, on at most ``per_lang`` whole documents a language (those with the
-smallest hash of their id), cut into stretches of many lengths that are strung together across languages, so transitions are learned
-from code-switching. The input may have at most ``max_langs`` languages; more is an error. Prediction covers whole texts; memory
-follows the texts of one batch.
+The model is fitted on the driver by the likelihood's gradient, on at most ``per_lang`` whole documents and ``per_lang_chars`` characters
+a language (those with the smallest hash of their id; longer documents aren't trained on), cut into stretches of many lengths that are
+strung together across languages, so transitions are learned from code-switching. The ``max_langs`` languages with the most documents
+are learned; a document of another is given the learned one that fits best. Prediction covers whole texts, in slices of
+SLICE characters or one longer text; only texts go to Python, all other columns stay where they are.
 
-Nulls: a null text, one without letters, and any text where nothing could be learned give ``und`` with score 0. A null lang isn't
-trained on. Ties go to the first language by code point. Repeated rows are independent. Empty table: no rows.
+Nulls: a null text, one without letters, and any text where nothing could be learned give ``und`` with score and certainty 0. A null
+lang isn't trained on. Ties go to the first language by code point. Repeated rows are independent in prediction; in training they
+count as rows of one document. Empty table: no rows. Extra columns may have any name.
 """
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BITS = 16
 STEP = 64  # words of a training sequence
+SLICE = 4_000_000  # characters predicted at once, but for a longer single text
 
 
 def held_out(doc_id: Column) -> Column:
@@ -51,7 +54,7 @@ def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at, feat = [], []
     with np.errstate(over="ignore"):
         for n in (2, 3, 4):
-            if len(c) <= n:
+            if len(c) < n:
                 continue
             h = np.full(len(c) - n + 1, n, np.uint64)
             ok = np.ones(len(h), bool)
@@ -152,8 +155,8 @@ class Crf:
                 v += rate * d / np.sqrt(store[name])
         return self
 
-    def predict(self, docs: list[list[str]]) -> list[tuple[str, float]]:
-        """(lang, score) of word lists, none of which is empty."""
+    def predict(self, docs: list[list[str]]) -> list[tuple[str, float, float]]:
+        """(lang, score, certainty) of word lists, none of which is empty. certainty: mean of each word's greatest marginal."""
         vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
         if not vocabulary:
             return []
@@ -161,23 +164,35 @@ class Crf:
         word = np.fromiter((vocabulary[w] for d in docs for w in d), np.int64)
         length = np.array([len(d) for d in docs])
         m, _ = self.marginals(pot, word, length)
-        mean = np.add.reduceat(m, np.cumsum(length) - length) / length[:, None]
+        start = np.cumsum(length) - length
+        mean = np.add.reduceat(m, start) / length[:, None]
+        sure = np.minimum(1.0, np.add.reduceat(m.max(1), start) / length)
         best = mean.argmax(1)
-        return [(self.langs[j], float(min(1.0, mean[i, j]))) for i, j in enumerate(best)]
+        return [(self.langs[j], float(min(1.0, mean[i, j])), float(sure[i])) for i, j in enumerate(best)]
 
 
-def sample(docs: DataFrame, per_lang: int) -> DataFrame:
-    """lang and text of the training documents; ids are ranked first (map-side limits of the rank), texts are joined to few ids."""
-    pick = docs.filter("lang is not null and text is not null and doc_id is not null").filter(~held_out(F.col("doc_id"))).select("doc_id", "lang").withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("_r") <= per_lang)
+def sample(docs: DataFrame, per_lang: int, per_lang_chars: int, max_langs: int) -> DataFrame:
+    """lang, text and rank of the training documents, at most per_lang rows and per_lang_chars characters a language.
+
+    Ids are ranked first, each once (map-side limits of the rank), texts are joined to few ids, and the rows, of which an id may have
+    many, are ranked again.
+    """
+    fit = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")).filter("lang is not null and doc_id is not null").filter(F.length("text") <= per_lang_chars).filter(~held_out(F.col("doc_id")))
+    langs = F.broadcast(fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang"))
+    ids = fit.join(langs, "lang", "left_semi").select("doc_id", "lang").distinct()
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    pick = ids.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= per_lang)
     pick = F.broadcast(pick.select(F.col("doc_id").alias("_i"), F.col("lang").alias("_g"), "_r"))  # at most per_lang rows a language
-    return docs.join(pick, (F.col("doc_id") == F.col("_i")) & (F.col("lang") == F.col("_g"))).select("lang", "text", "_r", "doc_id")
+    rows = fit.join(pick, (F.col("doc_id") == F.col("_i")) & (F.col("lang") == F.col("_g"))).select("lang", "text", "_r")
+    order = Window.partitionBy("lang").orderBy("_r", F.xxhash64("text"), "text")
+    rows = rows.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= per_lang)
+    upto = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_c", upto).filter(F.col("_c") <= per_lang_chars).select("lang", "text", "_r")
 
 
-def train(docs: DataFrame, per_lang: int = 120, max_langs: int = 256, seed: int = 5) -> Crf | None:
+def train(docs: DataFrame, per_lang: int = 120, per_lang_chars: int = 1_000_000, max_langs: int = 256, seed: int = 5) -> Crf | None:
     """None if there is nothing to learn from."""
-    rows = sample(docs, per_lang).limit(per_lang * max_langs + 1).collect()
-    if len(rows) > per_lang * max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    rows = sample(docs, per_lang, per_lang_chars, max_langs).collect()  # at most max_langs * per_lang_chars characters
     by: dict[str, list[list[str]]] = {}
     for r in sorted(rows, key=lambda r: (r.lang.encode(), r._r, r.text)):
         if w := words_of(r.text):
@@ -203,27 +218,40 @@ def train(docs: DataFrame, per_lang: int = 120, max_langs: int = 256, seed: int
     return Crf(langs, lexicon).fit(seqs)
 
 
-def identify(docs: DataFrame, model: Crf | None, *carry: str, keep_text: bool = False) -> DataFrame:
-    """Per document: doc_id, lang_pred, score, and the columns named in carry."""
-    rows = docs.select("doc_id", "text", *carry)
-    kinds = {f.name: f for f in rows.schema.fields}
-    from pyspark.sql.pandas.types import to_arrow_type
+def _slices(texts: pa.Array) -> Iterator[list[str | None]]:
+    """Texts in order, in lists of at most SLICE bytes of UTF-8 unless a single text is longer."""
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, side="right")))
+        yield texts.slice(at, end - at).to_pylist()
+        at = end
+
 
-    keep = ["doc_id", *carry, *["text"] * keep_text]
-    schema = pa.schema([*[pa.field(c, to_arrow_type(kinds[c].dataType)) for c in keep], pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())])
+def predictor(spark: SparkSession, model: Crf | None) -> Callable[[Column], Column]:
+    """A function from a text column to a struct (lang_pred, score, certainty)."""
     if model is not None:
         model.w, model.lex = model.w.astype(np.float32), model.lex.astype(np.float32)
+    held = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("lang_pred string, score double, certainty double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        crf = held.value
+        for texts in batches:
+            out: list[tuple[str, float, float]] = []
+            for part in _slices(texts):
+                words = [words_of(t) if crf is not None else [] for t in part]
+                some = iter(crf.predict([w for w in words if w]) if crf is not None else [])
+                out += [next(some) if w else ("und", 0.0, 0.0) for w in words]
+            cols = list(zip(*out)) if out else [[], [], []]
+            yield pa.StructArray.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], names=["lang_pred", "score", "certainty"])
+
+    predict = predict.asNondeterministic()  # else a filter on it would run it again
+    return lambda text: predict(text.cast("string"))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 2000):
-                part = b.slice(k, 2000)
-                words = [words_of(t) if model is not None else [] for t in part.column("text").to_pylist()]
-                some = [i for i, w in enumerate(words) if w]
-                pred: list = [("und", 0.0)] * len(words)
-                for i, p in zip(some, model.predict([words[i] for i in some]) if some else []):
-                    pred[i] = p
-                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in keep], pa.array([p for p, _ in pred], pa.string()), pa.array([s for _, s in pred], pa.float64())], schema=schema)
-
-    ddl = ", ".join(f"`{c}` {kinds[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{ddl}, lang_pred string, score double")
+def identify(docs: DataFrame, model: Crf | None) -> DataFrame:
+    """Per document: doc_id, lang_pred, score, certainty."""
+    return docs.select("doc_id", predictor(docs.sparkSession, model)(F.col("text")).alias("p")).select("doc_id", "p.lang_pred", "p.score", "p.certainty")

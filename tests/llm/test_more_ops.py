@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,18 +179,56 @@ def test_forward_backward_equals_enumeration():
 def test_language_id(spark, nasty, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = li.train(docs, per_lang=60)
-    out = li.identify(docs.withColumn("score", F.lit("x")), model, "lang").withColumn("h", li.held_out(F.col("doc_id"))).collect()
+    assert model.langs == sorted(model.langs)
+    out = li.identify(docs.withColumn("score", F.lit("x")), model).join(docs.select("doc_id", "lang"), "doc_id").withColumn("h", li.held_out(F.col("doc_id"))).collect()
     held = [r for r in out if r.h and r.lang]
     assert len(out) == docs.count() and sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in out)
     de, fr = (next(r.text for r in docs.filter(f"lang = '{g}'").orderBy("doc_id").collect()).split()[:30] for g in ("de", "fr"))
     pot_docs = [[w for x in de + fr for w in li.words_of(x)]]
-    assert 0.4 < model.predict(pot_docs)[0][1] < 0.9  # code-switched: neither language has it all
+    assert 0.4 < model.predict(pot_docs)[0][1] < 0.9 < model.predict(pot_docs)[0][2]  # code-switched: neither language has it all, but the words are sure
     bad = {r.doc_id: r for r in li.identify(nasty, model).collect()}
     assert [bad[i].lang_pred for i in (2, 3, 4, 10)] == ["und"] * 4 and bad[2].score == 0.0
     assert li.identify(empty, model).count() == 0 and li.train(empty) is None
     assert {r.lang_pred for r in li.identify(nasty, None).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    rows = [(2, f"das ist der text {k} von allen", "de") for k in range(300)] + [(3, "the text of it all", "en"), (5, "x " * 400, "en"), (9, "le texte de tout", "fr"), (9, "le texte", "en")] + [(10 + k, "die eine und die andere", "de") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = li.sample(docs, 20, 500, 2).collect()
+    assert {r.lang for r in got} == {"de", "en"} and all(len(r.text) <= 500 for r in got)
+    for lang in ("de", "en"):
+        mine = [r for r in got if r.lang == lang]
+        assert 0 < len(mine) <= 20 and sum(len(r.text) for r in mine) <= 500
+    model = li.train(docs)
+    assert model.langs == ["de", "en", "fr"]
+    whole = li.identify(docs, model).collect()
+    monkeypatch.setattr(li, "SLICE", 50)
+    assert [len(x) for x in li._slices(pa.array(["a" * 60, None, "b" * 20, "c" * 30, "d"]))] == [1, 3, 1]
+    assert len(whole) == len(rows) and all(0 < r.score <= r.certainty <= 1 for r in whole)
+
+
+def test_prediction_equals_enumeration_of_the_words(spark):
+    """score and certainty of whole documents, by brute force over all label sequences."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = li.train(docs, per_lang=20)
+    texts = [" ".join((r.text or "").split()[:5]) for r in docs.limit(6).collect()]
+    got = li.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    k, t = len(model.langs), np.exp(model.trans)
+    for r in got:
+        words = li.words_of(texts[r.doc_id])
+        pot = np.concatenate([model.potentials(li.ngrams([w]), 1) for w in words])
+        z, acc = 0.0, np.zeros((len(words), k))
+        for m in range(k ** len(words)):
+            y = [m // k**i % k for i in range(len(words))]
+            p = np.prod([pot[i, a] for i, a in enumerate(y)]) * np.prod([t[a, b] for a, b in zip(y, y[1:])])
+            z += p
+            for i, a in enumerate(y):
+                acc[i, a] += p
+        mean = (acc / z).mean(0)
+        assert r.lang_pred == model.langs[int(mean.argmax())] and abs(r.score - mean.max()) < 1e-4 and abs(r.certainty - (acc / z).max(1).mean()) < 1e-4
+
+
 # --- line dedup --------------------------------------------------------------------------------------------------------------
 
 
@@ -203,7 +242,7 @@ def lines_brute(rows, least, threshold):
     for i, t in rows:
         for s in (t or "").split("\n") if t is not None else ():
             if m := mask(s):
-                where[m].add(str(i))
+                where[m].add(t)
     leaves = defaultdict(list)
     for m in sorted(where, key=lambda m: m.encode()):
         w = m.split(" ")
@@ -223,7 +262,7 @@ def lines_brute(rows, least, threshold):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("small", [500_000, 0])
+@pytest.mark.parametrize("small", [16_000_000, 0])
 def test_line_dedup(spark, nasty, empty, monkeypatch, small):
     monkeypatch.setattr(ld, "SMALL", small)
     r = random.Random(6)
@@ -238,6 +277,13 @@ def test_line_dedup(spark, nasty, empty, monkeypatch, small):
     got = sorted(((x.doc_id, x.n_lines, x.n_dropped, x.kept_text) for x in ld.drop_lines(df, least=10).collect()), key=str)
     assert got == lines_brute(rows, 10, 0.7)
     assert sum(x[2] for x in got) > 30 and ld.drop_lines(empty).count() == 0
+    assert ld.drop_lines(nasty).count() == nasty.count()
+
+
+def test_masks_and_leaves(spark):
+    s = [" a  b\tc1 x", "a b", "12", " x", "a b ", "\x0b1\r", "a", "ab c3d e", "\x1cq é1", ""]
+    got = [tuple(r) for r in spark.createDataFrame([(x,) for x in s], "line string").select(ld.masked(F.col("line")).alias("m")).select("m", ld.leaf(F.col("m"))).collect()]
+    assert got == [("a b <*> x", "4 a b"), ("a b", "2 a b"), ("<*>", "1 <*>"), ("x", "1 x"), ("a b", "2 a b"), ("<*>", "1 <*>"), ("a", "1 a"), ("ab <*> e", "3 ab <*>"), ("\x1cq <*>", "2 \x1cq <*>"), ("", "1 ")]
 
 
 # --- quality -----------------------------------------------------------------------------------------------------------------
