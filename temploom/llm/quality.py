@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ from temploom.llm.substring_dedup import _crc, _cuts, _mix, _pid
 
 ORDER = 5
 START = "\x02"
-CHUNK = 12_000_000  # characters sent at once, but for a longer single text
-BLOCK = 2_000_000  # characters counted at once
+CHUNK = 12_000_000  # bytes sent at once, but for a longer single text
+BLOCK = 1_000_000  # characters counted at once
 BATCH = 100_000  # n-grams made strings at once
 SYMBOLS = 1_114_112  # what the unigrams leave goes evenly to all of Unicode's code points
 _SENT = "pid int, chunk int, part int, crc long, low binary"
@@ -114,17 +115,15 @@ def _distinct(c: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of batches with their texts, none of more than CHUNK characters unless a single text is."""
+    """Parts of batches with their texts, none of more than CHUNK bytes of UTF-8 unless a single text is."""
     for b in batches:
-        texts = [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-        at = size = 0
-        for i, t in enumerate(texts):
-            if i > at and size + len(t) > CHUNK:
-                yield b.slice(at, i - at), texts[at:i]
-                at, size = i, 0
-            size += len(t)
-        if at < len(texts):
-            yield b.slice(at), texts[at:]
+        texts = b.column(b.schema.get_field_index("text"))
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, side="right")))
+            yield b.slice(at, end - at), [t or "" for t in texts.slice(at, end - at).to_pylist()]
+            at = end
 
 
 def _strings(grams: np.ndarray) -> pa.Array:
@@ -293,7 +292,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, path: str | None = None, c
     back = f"{path}/answers"
     known = model_rows(probs, backs).mapInArrow(hashed, "part int, h long, p float, g float")
     asked = rows.select("text").mapInArrow(send, _SENT)
-    asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(answer, _BACK).repartition(max(1, parts // 4), "pid").write.partitionBy("pid").parquet(back)
+    asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(answer, _BACK).repartition(parts, "pid").write.partitionBy("pid").parquet(back)
 
     kinds = {f.name: f for f in rows.schema.fields}
     from pyspark.sql.pandas.types import to_arrow_type
