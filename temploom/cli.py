@@ -4,6 +4,8 @@ from __future__ import annotations
 import argparse
 import sys
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +25,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--format", default="text", choices=["text", "json", "jsonl", "ndjson", "csv"])
     p.add_argument("--min-size", type=int, default=0)
     p.add_argument("--sort", default="size", choices=list(SORTS))
-    p.add_argument("--sim", type=float, default=0.4)
+    p.add_argument("--sim-th", type=float, default=0.4)
     p.add_argument("--depth", type=int, default=4)
-    p.add_argument("--delimiters", default="")
+    p.add_argument("--path-delimiters", default="")
     p.add_argument("--masks", default="")
-    p.add_argument("--first-line", action="store_true")
-    p.add_argument("--record-separator")
-    p.add_argument("--multiline-start")
+    p.add_argument("--first-line-only", action="store_true")
+    framing = p.add_mutually_exclusive_group()
+    framing.add_argument("--record-separator", metavar="SEP")
+    framing.add_argument("--multiline-start", metavar="REGEX")
     p.add_argument("--key")
     p.add_argument("--time-key")
     p.add_argument("--time-format")
@@ -37,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run(args: argparse.Namespace, spark: SparkSession) -> str:
-    opts = MinerOptions(sim_threshold=args.sim, depth=args.depth, path_delimiters=args.delimiters, first_line_only=args.first_line, masks=parse_mask_list(args.masks))
+    opts = MinerOptions(sim_threshold=args.sim_th, depth=args.depth, path_delimiters=args.path_delimiters, first_line_only=args.first_line_only, masks=parse_mask_list(args.masks))
     rec = read_records(spark, args.files, separator=args.record_separator, multiline_start=args.multiline_start)
     seen = None
     if args.time_key:
@@ -55,12 +58,15 @@ def run(args: argparse.Namespace, spark: SparkSession) -> str:
 
 
 def main(argv: list[str] | None = None) -> int:
-    args = parser().parse_args(argv)
+    p = parser()
+    args = p.parse_args(argv)
+    if args.time_format is not None and args.time_key is None:
+        p.error("--time-format requires --time-key")
     spark = SparkSession.builder.appName("temploom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         sys.stdout.write(run(args, spark))
-    except (TemploomError, OSError) as e:
-        print(f"error: {e}", file=sys.stderr)
+    except (TemploomError, OSError, PySparkException, Py4JError) as e:
+        print(f"error: {str(e).strip().splitlines()[0] if str(e).strip() else type(e).__name__}", file=sys.stderr)
         return 2
     return 0
 

@@ -27,12 +27,8 @@ def match(probes: DataFrame, catalog: DataFrame, opts: MinerOptions = MinerOptio
         leaves = F.broadcast(leaves)
     texts = F.col("tokens.text")
     tok = with_tokens(probes, opts).withColumn("_n", F.col("n_tokens")).withColumn("_leaf", F.array_join("leaf_keys", " "))
-    start = F.struct(F.lit(-1.0).alias("sim"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<string>").alias("texts"))
-
-    def better(acc, c):
-        sim = similarity(c["texts"], texts, opts.wildcard)
-        return F.when(sim > acc["sim"], F.struct(sim.alias("sim"), c["id"].alias("id"), c["texts"].alias("texts"))).otherwise(acc)
-
-    hit = tok.join(leaves, ["_n", "_leaf"], "left").withColumn("_best", F.aggregate("_cands", start, better))
+    # Each candidate is compared once; of equals the first in scan order is the greatest.
+    scored = F.transform("_cands", lambda c: F.struct(similarity(c["texts"], texts, opts.wildcard).alias("sim"), (-c["leaf_pos"]).alias("at"), c["id"].alias("id"), c["texts"].alias("texts")))
+    hit = tok.join(leaves, ["_n", "_leaf"], "left").withColumn("_best", F.array_max(scored))
     ok = F.col("_best.sim") >= opts.sim_threshold
     return hit.select(*probes.columns, F.when(ok, F.col("_best.id")).alias("cluster_id"), F.when(ok, extract_parameters(F.col("_best.texts"), texts, opts.wildcard)).alias("params"))

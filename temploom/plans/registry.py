@@ -13,7 +13,7 @@ from temploom.operators.match import match
 from temploom.operators.mine import mine, with_rates
 from temploom.operators.options import MinerOptions
 from temploom.plans.closed_form import catalog_threshold_one, catalog_threshold_zero
-from temploom.sources.records import assemble_multiline, drop_blank
+from temploom.sources.records import assemble_multiline, drop_blank, read_records
 
 # --- line corpora, built alike on both engines -------------------------------------------------------------------------------
 
@@ -349,9 +349,68 @@ def sort_size_topk(s, d):
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "id")).cast("long"))
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """place: each row's number in the order that the rows come in."""
+    return df.withColumn("_m", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("_m")).cast("long")).drop("_m")
+
+
 @query(f"with {_Z0} select id, template, row_number() over (order by template, id) place from r")
 def sort_template(s, d):
-    return _doc_catalog(s, d).select("id", "template").withColumn("place", F.row_number().over(Window.orderBy("template", "id")).cast("long"))
+    return _placed(cat.ordered(_doc_catalog(s, d), "template").select("id", "template"))
+
+
+@query(f"with {_Z0} select id, size, row_number() over (order by id) place from r")
+def sort_id(s, d):
+    return _placed(cat.ordered(_doc_catalog(s, d), "id").select("id", "size"))
+
+
+def _observed(s, d):
+    e = l_ev(s, d)
+    return e.withColumn("observed_ms", F.col("event_ms") + F.col("seq") % 7 * 1000 + F.col("seq"))
+
+
+_OBS = f"""{_sim0(EV)}, ob as (select n, k, arg_min(event_ms + seq % 7 * 1000 + seq, seq) created_ms, arg_max(event_ms + seq % 7 * 1000 + seq, seq) updated_ms from t group by all),
+    r as (select row_number() over (order by first_seq) id, template, size, created_ms, updated_ms, case when updated_ms - created_ms < 1000 then 0.0 else size / ((updated_ms - created_ms) / 1000.0::double / 60.0::double) end rate from z join ob using (n, k))"""
+
+
+@query(f"with {_OBS} select id, template, size, created_ms, updated_ms, rate from r")
+def mine_observed_times(s, d):
+    return with_rates(mine(_observed(s, d), ZERO).catalog).select("id", "template", "size", "created_ms", "updated_ms", F.col("lines_per_minute").alias("rate"))
+
+
+@query(f"with {_OBS} select id, rate, row_number() over (order by rate desc, id) place from r")
+def sort_rate(s, d):
+    return _placed(cat.ordered(mine(_observed(s, d), ZERO).catalog, "rate").select("id", F.col("lines_per_minute").alias("rate")))
+
+
+@query(f"with {_Z0} select id, template, size from r where id = 3")
+def cluster_by_id(s, d):
+    return cat.cluster_by_id(_doc_catalog(s, d), 3).select("id", "template", "size")
+
+
+def _page(s, text: str) -> DataFrame:
+    return s.createDataFrame(list(enumerate(text.split("\n"))), "n long, line string")
+
+
+_LINES = "unnest(generate_series(0, len(string_split(x, chr(10))) - 1)) n, unnest(string_split(x, chr(10))) line"
+
+
+@query(f"""with {_Z0}, wide as (select greatest(2, max(len(id::varchar))) wi, greatest(4, max(len(size::varchar))) ws from r),
+    x as (select lpad('ID', any_value(wi)::int, ' ') || '  ' || lpad('SIZE', any_value(ws)::int, ' ') || '  TEMPLATE' || chr(10) || string_agg(lpad(id::varchar, wi::int, ' ') || '  ' || lpad(size::varchar, ws::int, ' ') || '  ' || template || chr(10), '' order by size desc, id) x from r, wide)
+    select {_LINES} from x""")
+def render_text(s, d):
+    return _page(s, cat.render(_doc_catalog(s, d), "text"))
+
+
+_MEMBERS = f"{_sim0(EV)}, m as (select n, k, member, min(seq) q from t group by all), a as (select n, k, list(member order by q) members from m group by all), r as (select *, row_number() over (order by first_seq) id, case when event_last_ms - event_first_ms < 1000 then 0.0::double else size / ((event_last_ms - event_first_ms) / 1000.0::double / 60.0::double) end rate from z join a using (n, k))"
+
+
+@query(f"""with {_MEMBERS}, x as (select '[' || chr(10) || string_agg('  {{' || chr(10) || '    "createdAt": null,' || chr(10) || '    "eventFirstSeen": ' || event_first_ms || ',' || chr(10) || '    "eventLastSeen": ' || event_last_ms || ',' || chr(10)
+      || '    "eventRatePerMinute": ' || to_json(rate) || ',' || chr(10) || '    "id": ' || id || ',' || chr(10) || '    "linesPerMinute": 0.0,' || chr(10) || '    "members": [' || chr(10) || array_to_string(list_transform(members, lambda y: '      ' || to_json(y)), ',' || chr(10)) || chr(10) || '    ],' || chr(10)
+      || '    "size": ' || size || ',' || chr(10) || '    "suffix": null,' || chr(10) || '    "template": ' || to_json(template) || ',' || chr(10) || '    "updatedAt": null' || chr(10) || '  }}', ',' || chr(10) order by id) || chr(10) || ']' x from r)
+    select {_LINES} from x""")
+def render_json(s, d):
+    return _page(s, cat.render(mine(l_ev(s, d), ZERO).catalog, "json", "id"))
 
 
 @query(f"""with {_Z0} select id, concat_ws(',', id, size, '0.0', case when regexp_matches(template, '[,"\n\r]') then '"' || replace(template, '"', '""') || '"' else template end, '', '', '', '', '', '', '') line from r""")
@@ -359,12 +418,9 @@ def csv_lines(s, d):
     return cat.csv_lines(_doc_catalog(s, d))
 
 
-@query(f"""with {_sim0(EV)}, r as (select *, row_number() over (order by first_seq) id from z) select id, '{{"createdAt":null,"eventFirstSeen":' || event_first_ms || ',"eventLastSeen":' || event_last_ms || ',"id":' || id || ',"linesPerMinute":0.0,"size":' || size || ',"template":' || to_json(template) || '}}' line from r""")
+@query(f"""with {_MEMBERS} select id, '{{"createdAt":null,"eventFirstSeen":' || event_first_ms || ',"eventLastSeen":' || event_last_ms || ',"eventRatePerMinute":' || to_json(rate) || ',"id":' || id || ',"linesPerMinute":0.0,"members":' || to_json(members) || ',"size":' || size || ',"suffix":null,"template":' || to_json(template) || ',"updatedAt":null}}' line from r""")
 def json_lines(s, d):
-    lines = cat.json_lines(mine(l_ev(s, d), ZERO).catalog)
-    # The rate's digits and the members list are the business of event_rate and mine_members.
-    cut = F.regexp_replace(F.regexp_replace("line", r'"eventRatePerMinute":[^,]*,', ""), r'"members":\[[^\]]*\],', "")
-    return lines.select("id", F.regexp_replace(F.regexp_replace(cut, r'"suffix":null,', ""), r',"updatedAt":null', "").alias("line"))
+    return cat.json_lines(mine(l_ev(s, d), ZERO).catalog)
 
 
 @query(f"with {_Z0} select count(*) templates, sum(size)::bigint lines, sum(size) / count(*)::double ratio from r")
@@ -372,23 +428,57 @@ def compression(s, d):
     return cat.compression(_doc_catalog(s, d))
 
 
-@query()
+# With threshold 1 a template is a token vector; with two places in a leaf those of its two last runs of equal vectors live. So a run creates
+# its vector anew unless the run before the last one had the same.
+@query(f"""with v as (select seq, len(w) n, array_to_string({_keys(2)}, ' ') k, array_to_string(w, ' ') template from {_tok(DOC)}),
+    a as (select *, case when template is distinct from lag(template) over leaf then 1 else 0 end edge from v window leaf as (partition by n, k order by seq)),
+    b as (select *, sum(edge) over (partition by n, k order by seq) run from a),
+    g as (select n, k, run, template, min(seq) seq, count(*) c from b group by all),
+    h as (select *, template is distinct from lag(template, 2) over (partition by n, k order by run) fresh, max(run) over (partition by n, k) top from g),
+    e as (select *, sum(fresh::int) over (partition by n, k, template order by run) life from h),
+    i as (select n, k, template, life, row_number() over (order by seq) id from e where fresh),
+    l as (select distinct n, k, template, life from e where run >= top - 1)
+    select id, template, (select sum(c)::bigint from e where e.n = l.n and e.k = l.k and e.template = l.template and e.life = l.life) size from l join i using (n, k, template, life)""")
 def mine_lru_evict(s, d):
-    """Rows only: SQL has no such eviction; tests compare with a sequential simulation."""
     return mine(l_doc(s, d), MinerOptions(sim_threshold=1.0, max_clusters_per_leaf=2)).catalog.select("id", "template", "size")
 
 
+_EVEN = f"(select * from {DOC1} where seq % 2 = 0)"
+
+
+@query(f"""with {_fold(_EVEN, 0.4, 0)}, last as (select n, k, tpls from f qualify row_number() over (partition by n, k order by rn desc) = 1),
+    p as (select seq, w, len(w) n from {_tok(DOC1)} where seq % 2 = 1),
+    q as (select p.seq, p.n, last.k, list_transform(last.tpls, lambda t: case when p.n = 0 then 1.0::double else len(list_filter(p.w, lambda x, i: t[i] = '<*>' or t[i] = x)) / p.n::double end) sims from p left join last on last.n = p.n)
+    select q.seq, ids.id cluster_id from q left join ids on ids.n = q.n and ids.k = q.k and ids.cid = list_position(q.sims, list_max(q.sims)) and list_max(q.sims) >= 0.4""")
+def match_many_templates(s, d):
+    """Leaves by token count alone, so that a line has many templates to choose from."""
+    c = mine(l_doc1(s, d).filter("seq % 2 = 0"), O2).catalog
+    return match(l_doc1(s, d).filter("seq % 2 = 1"), c, O2).select("seq", "cluster_id")
+
+
+@query("""select event_id, '[' || user_id || ',{"b":"x"}]' whole, null::varchar item, 'q' deep, null::varchar past from events""")
+def json_objects_only(s, d):
+    line = F.concat(F.lit('{"k": ['), F.col("user_id").cast("string"), F.lit(', {"b": "x"}], "o": {"p": "q"}}'))
+    e = _t(s, d, "events").select("event_id", line.alias("l"))
+    return e.select("event_id", *[extract_field(F.col("l"), path).alias(name) for name, path in (("whole", "k"), ("item", "k.0"), ("deep", "o.p"), ("past", "o.p.r"))])
+
+
+@query("select row_number() over (order by doc_id) - 1 seq, text record from documents where text is not null")
+def record_separator(s, d):
+    """Documents as files of records that end with a separator of two characters, read again."""
+    from temploom.sources.store import scratch
+
+    path = scratch(s, "records")
+    _t(s, d, "documents").filter("text is not null").orderBy("doc_id").select("text").write.option("lineSep", "\x1e;").text(path)
+    return read_records(s, [path], separator="\x1e;").select("seq", "record")
+
+
 @query(f"with {_sim0(EV)}, r as (select *, row_number() over (order by first_seq) id from z) select id, template, size from r")
 def snapshot_roundtrip(s, d):
     """Save the catalog of the first half, restore it, and mine the rest on top."""
-    import tempfile
-
-    from temploom.sources.store import ParquetStore
+    from temploom.sources.store import ParquetStore, scratch
 
-    base = s.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp()
-    import uuid
-
-    store = ParquetStore(f"{base}/store-{uuid.uuid4().hex}")
+    store = ParquetStore(scratch(s, "store"))
     ev = l_ev(s, d)
     half = ev.agg(F.percentile_approx("seq", 0.5)).head()[0] or 0
     first = mine(ev.filter(F.col("seq") <= half), ZERO)
@@ -399,18 +489,15 @@ def snapshot_roundtrip(s, d):
 
 @query(f"with {_fold(EV, 0.7, 2)} select f.seq, ids.cseq created_seq, f.upd \"update\" from f join ids using (n, k, cid)")
 def stream_equals_batch(s, d):
-    import tempfile
-    import uuid
-
+    from temploom.sources.store import scratch
     from temploom.streaming.stream import mine_stream
 
-    name = f"temploom_{uuid.uuid4().hex}"
-    base = s.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp()
+    base = scratch(s, "stream")
     s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     schema = _t(s, d, "events").schema
     e = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     line = F.concat("event_type", F.lit(" user "), F.col("user_id").cast("string"), F.lit(" props "), "props")
     rows = mine_stream(e.select(F.col("event_id").alias("seq"), line.alias("record")), EV7)
-    q = rows.writeStream.format("parquet").option("path", f"{base}/{name}").option("checkpointLocation", f"{base}/{name}-state").trigger(availableNow=True).start()
+    q = rows.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return s.read.parquet(f"{base}/{name}").select("seq", "created_seq", "update")
+    return s.read.parquet(f"{base}/rows").select("seq", "created_seq", "update")

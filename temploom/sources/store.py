@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import io
 import json
+import re
+import tempfile
 import uuid
 from typing import Protocol
 
@@ -18,6 +20,16 @@ CATALOG_DDL = (
 )
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared folder that the session names in spark.checkpoint.dir; a local one only in local mode where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise StoreError("spark.checkpoint.dir names no folder that all executors share")
+        base = tempfile.mkdtemp(prefix="temploom-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class CatalogStore(Protocol):
     def save(self, catalog: DataFrame, opts: MinerOptions, counter: int) -> None: ...
     def load(self, spark: SparkSession) -> tuple[DataFrame, dict] | None: ...

@@ -232,6 +232,40 @@ def test_cli(spark, tmp_path, capsys):
     row = json.loads(out.out)
     assert (row["template"], row["size"], row["eventFirstSeen"], row["eventLastSeen"]) == ("hit <*>", 3, 60_000, 180_000) and "2 records" in out.err
     assert main([str(f), "--masks", "zzz"]) == 2
+    assert main([str(tmp_path / "none.log")]) == 2 and capsys.readouterr().err.splitlines()[-1].startswith("error: ")
+    assert main([str(f), "--sim-th", "1.0", "--depth", "3", "--path-delimiters", "/", "--first-line-only", "--sort", "id", "--min-size", "1", "--format", "csv"]) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 5
+    for wrong in (["--time-format", "%Y"], ["--record-separator", ";", "--multiline-start", "^a"], ["--sort", "x"]):
+        with pytest.raises(SystemExit) as e:
+            main([str(f), *wrong])
+        assert e.value.code == 2
+
+
+def test_index_equals_scan():
+    import random
+
+    r = random.Random(3)
+    for _ in range(120):
+        n, th, cap, v = r.choice([1, 2, 3, 5, 8, 12]), r.choice([0, 0.1, 0.4, 0.5, 0.7, 0.9, 1.0]), r.choice([5, 30, 60, 10**9]), r.choice([2, 5, 30, 300])
+        a, b = LeafFold(th, cap, "<*>"), LeafFold(th, cap, "<*>")
+        a.SCAN, b.SCAN = r.choice([0, 3, 24]), 10**9
+        for s in range(300):
+            t = [r.choice(["<*>"] + [f"t{i}" for i in range(v)]) if r.random() < 0.5 else f"c{p}" for p in range(n)]
+            (x, up), (y, down) = a.add(" ".join(t), t, s), b.add(" ".join(t), t, s)
+            assert (x.key, x.texts, up) == (y.key, y.texts, down)
+        assert [(c.key, c.texts, c.size) for c in a.clusters] == [(c.key, c.texts, c.size) for c in b.clusters]
+
+
+def test_many_templates_in_one_leaf_stay_fast():
+    import random
+    import time
+
+    r, fold = random.Random(1), LeafFold(0.7, 10**9, "<*>")
+    began = time.process_time()
+    for s in range(50_000):
+        t = ["a", "b", *(f"w{r.randrange(5000)}" for _ in range(10))]
+        fold.add(" ".join(t), t, s)
+    assert len(fold.clusters) > 49_000 and time.process_time() - began < 30
 
 
 def test_stream_equals_batch(spark, tmp_path):
