@@ -1,13 +1,11 @@
 """What several operators share: the shared work folder, hot-key joins, word patterns."""
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from temploom.sources.store import scratch
+
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key is hot if it holds at least this share of all rows; so at most 1/HOT_SHARE keys are, which bounds what is broadcast.
@@ -15,13 +13,8 @@ HOT_SHARE = 1 / 1000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the shared folder that the session names in spark.checkpoint.dir; a local one only in local mode where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-        base = tempfile.mkdtemp(prefix="temploom-")
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A new folder below the shared folder of the session."""
+    return scratch(spark, "llm")
 
 
 def parts_for(df: DataFrame, part_bytes: int = 64_000_000) -> int:
