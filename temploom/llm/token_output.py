@@ -2,13 +2,18 @@
 
 Documents in ascending doc_id order are encoded, each followed by the end id, and cut into sequences of ``seq_len`` ids. A shard is an
 Arrow IPC file with columns ``ids`` (fixed_size_list<uint16 or uint32>[seq_len]) and ``mask`` (fixed_size_list<bool>[seq_len], false on
-the padding after the shard's last id); sequence i of any shard is found by arithmetic in a memory map, without copies. A second file of the shard lists its documents
-(doc_id, start inside the shard, n_tokens). Shards are range partitions of doc_id, so ids of all shards in order are the corpus.
+the padding after the shard's last id); sequence i of any shard is found by arithmetic in a memory map and both are views of it, without
+copies. A second file of the shard lists its documents (doc_id, start inside the shard, n_tokens). Shards are ranges in the order of
+the corpus, their number follows the input's size, so ids of all shards in order are the corpus.
+
+Texts are encoded whole by the tokenizers library. Where the tokenizer's file has just the rules that BY_WORD lists, under which a text's
+ids are those of its pieces between white space, each distinct piece goes through the library once and is remembered; of each slice
+of documents one text is also encoded whole and compared. Any other tokenizer encodes every text as one.
 
 A task writes under a name of its own and renames at the end, and what it writes depends on its rows only: a task that runs again
 replaces equal files. Nulls: a null text is empty (its one id is the end id); null doc_ids come first. Repeated doc_ids are ordered by
-text, equal rows are interchangeable. Empty table: one or no shard, no rows. Long texts are encoded word by word, so memory follows the longest
-text and not its square.
+a hash of the text, then the text; equal rows are interchangeable and may be in several shards. Empty table: one or no shard, no rows.
+Extra columns aren't read. Memory follows the longest text.
 """
 from __future__ import annotations
 
@@ -25,18 +30,35 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from temploom.llm.common import work_dir
+from temploom.llm.common import parts_for, work_dir
 
 BATCH_SEQS = 256
 CACHE = 400_000
-_CORE = re.compile(r"([^\W\d_]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+)")
+SHARD_BYTES = 256_000_000  # of input files
+#: Letters that stay one pre-token of letters in lower case and in NFC, then ASCII punctuation but for the signs that contractions and
+#: special tokens use: two pre-tokens. The letter left out of the range, U+0130, gets a combining mark in lower case.
+_CORE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!\"#$%&()*+,\\-./:;=?@\\[\\\\\\]^_`{}~]+)")
+#: Rules under which no pre-token spans white space and nothing depends on what is beyond it.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "truncation": None, "padding": None, "post_processor": None,
+}
+
+
+def by_word(rules: dict) -> bool:
+    """Whether a tokenizer's file lets a text be encoded piece by piece."""
+    plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"]) and not re.search(r"\s", t["content"]) for t in rules["added_tokens"])
+    return plain and rules["model"]["type"] == "BPE" and not rules["model"].get("dropout") and all(rules.get(k) == v for k, v in BY_WORD.items())
 
 
 class Encoder:
-    """``Tokenizer.encode`` for a tokenizer whose pre-tokens never span white space, with words remembered.
+    """``Tokenizer.encode`` without special tokens, by remembered pieces where the tokenizer's rules allow it.
 
-    Texts are cut at space, tab and line ends, which the pre-tokenizer drops anyway; letters followed by ASCII punctuation (but for the
-    signs that contractions and special tokens use) are two pre-tokens. Each piece goes through the tokenizers library once.
+    Texts are then cut at space, tab and line ends, which the pre-tokenizer drops anyway, and pieces of _CORE's form once more.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
@@ -44,6 +66,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_word = by_word(json.load(f))
         self.kind = "<u2" if max(self.tok.get_vocab_size(with_added_tokens=True), end_id + 1) <= 65_536 else "<u4"
         self.end = np.array([end_id], self.kind).tobytes()
         self.words: dict[str, bytes] = {"": b""}
@@ -80,6 +104,9 @@ class Encoder:
     def cut(text: str) -> list[str]:
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes() + self.end
+
     def encode(self, words: list[str]) -> bytes:
         try:
             return b"".join(map(self.words.__getitem__, words)) + self.end
@@ -87,6 +114,17 @@ class Encoder:
             self.learn(set(words))
             return b"".join(map(self.words.__getitem__, words)) + self.end
 
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text and the end id."""
+        if not self.by_word:
+            return [self.whole(t) for t in texts]
+        cut = [self.cut(t) for t in texts]
+        self.learn(set().union(*cut))
+        out = [self.encode(w) for w in cut]
+        if texts and out[0] != self.whole(texts[0]):
+            raise RuntimeError("a text has other ids by its pieces than as a whole")
+        return out
+
 
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if ":/" in uri else (pafs.LocalFileSystem(), uri)
@@ -154,11 +192,16 @@ class _Shard:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, seq_len: int = 2048, shards: int | None = None) -> DataFrame:
     """Write the corpus below path; returns the manifest (shard, n_docs, n_tokens, offset), which is also ``_manifest.json`` there.
 
-    One shuffle, by doc_id ranges. The manifest has a row per shard.
+    One shuffle, by ranges of doc_id; a doc_id that many rows have is parted by their texts' hashes and, if those agree too, by where the
+    rows come from. The manifest has a row per shard.
     """
+    if seq_len % 8:
+        raise ValueError("seq_len must be a multiple of 8, for masks to begin at whole bytes")
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shards = shards or parts_for(rows, SHARD_BYTES)
+    rows = rows.withColumn("_h", F.xxhash64("text")).withColumn("_from", F.spark_partition_id())
+    rows = rows.repartitionByRange(shards, "doc_id", "_h", "_from").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -169,10 +212,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, se
                 if out is None:
                     enc = Encoder.of(tokenizer, end_id)
                     out = _Shard(path, f"{shard:06d}", enc.kind, seq_len)
-                texts = [Encoder.cut(x or "") for x in part.column("text").to_pylist()]
-                enc.learn(set().union(*texts))
-                for i, w in zip(part.column("doc_id").to_pylist(), texts):
-                    out.add(i, enc.encode(w))
+                for i, ids in zip(part.column("doc_id").to_pylist(), enc.texts([x or "" for x in part.column("text").to_pylist()])):
+                    out.add(i, ids)
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [out.n_docs], "n_tokens": [out.at]}, schema=pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
@@ -202,10 +243,16 @@ class ShardReader:
         self._at, self._flat = -1, None
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        b = self.ids.get_batch(i // BATCH_SEQS)
-        k = i % BATCH_SEQS
-        cut = lambda c: c.values.slice(k * self.seq_len, self.seq_len)
-        return cut(b.column(0)).to_numpy(), cut(b.column(1)).to_numpy(zero_copy_only=False)
+        """ids and mask of sequence i, both views of the file. The mask is packed: bit k % 8 of byte k // 8 (``mask`` unpacks it)."""
+        b, k = self.ids.get_batch(i // BATCH_SEQS), i % BATCH_SEQS
+        bits = b.column(1).values
+        at = (bits.offset + k * self.seq_len) // 8
+        packed = np.frombuffer(bits.buffers()[1], np.uint8)[at : at + self.seq_len // 8]
+        return b.column(0).values.slice(k * self.seq_len, self.seq_len).to_numpy(zero_copy_only=True), packed
+
+    def mask(self, i: int) -> np.ndarray:
+        """A copy of the mask as booleans."""
+        return np.unpackbits(self.sequence(i)[1], bitorder="little").astype(bool)
 
     def _batch(self, i: int) -> np.ndarray:
         if i != self._at:
