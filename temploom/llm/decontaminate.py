@@ -6,9 +6,10 @@ of ``window`` words or more. A hit is then extended: every document window with
 benchmark's windows, and overlapping hits unite to spans. An item of fewer than ``window`` words, but not none, is one window of its own
 length; fingerprints of those lengths (at most window - 1 of them, read from the benchmark) are made as well.
 
-A document's distinct fingerprints are exploded inside its row's task and filtered by the benchmark's fingerprints before any shuffle,
-by broadcast while those number at most ``broadcast_rows``, else by a shuffle join that carries only the windows of that fingerprint.
-What moves on is one row per document plus the hits.
+Up to ``in_plan`` fingerprints of the benchmark are part of the plan as a set of constants, and documents are filtered by them inside
+their own rows. More are joined by a shuffle of (row key, fingerprint) alone, and what joins goes back to its documents by the row key;
+in both cases windows are cut only for fingerprints that the benchmark has. The benchmark's windows are broadcast while they take at
+most ``broadcast_bytes``, measured; else that join shuffles too.
 
 Nulls: a null text has no words; a null doc_id is a value of its own; a null item_id is not listed but its windows hit. Rows with equal
 doc_id and text merge in the grouping and are given back as often as they came. Empty benchmark: n_hit 0 everywhere. Empty documents: no
@@ -76,31 +77,48 @@ def benchmark_windows(benchmark: DataFrame, window: int, k: int) -> tuple[DataFr
     return out.groupBy("length", "fp", "window").agg(F.sort_array(F.collect_set("item_id")).alias("items")), lengths
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, broadcast_rows: int = 100_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, in_plan: int = 20_000, broadcast_bytes: int = 16_000_000) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items (sorted array), spans (array of start, end in words from 0), contaminated."""
     base = work_dir(docs.sparkSession)
     bench, lengths = benchmark_windows(benchmark, window, k)
     bench = written(bench, "windows", base)
-    small = bench.limit(broadcast_rows + 1).count() <= broadcast_rows
-    side = F.broadcast if small else lambda x: x
-    prints = bench.select("length", "fp").distinct().withColumn("_in", F.lit(True))
+    prints = bench.select("length", "fp").distinct()
+    few = prints.limit(in_plan + 1).collect()
+    small = len(few) <= in_plan
+    takes = bench.agg(F.sum(F.octet_length("window") + F.octet_length(F.array_join("items", ",")) + 64)).head()[0] or 0
+    side = F.broadcast if takes <= broadcast_bytes else lambda x: x
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.coalesce(F.length("text"), F.lit(-1)).alias("_l"), words(F.col("text")).alias("w"))
     minima = F.array(*[F.struct(F.lit(n).alias("length"), window_minima(F.col("w"), n, k).alias("m")) for n in lengths]) if lengths else F.array().cast("array<struct<length:int,m:array<bigint>>>")
     rows = rows.withColumn("mins", minima)
-    # The null entry keeps one row per document through the filter below.
-    every = F.flatten(F.transform("mins", lambda x: F.transform(F.array_distinct(x["m"]), lambda fp: F.struct(x["length"].alias("length"), fp.alias("fp")))))
+    def entries(known: dict[int, list[int]] | None) -> Column:
+        """Distinct (length, fp) of the row, of those known."""
+        parts = []
+        for i, n in enumerate(lengths):
+            m = F.array_distinct(F.get(F.col("mins"), F.lit(i))["m"])
+            m = m if known is None else F.filter(m, lambda fp: fp.isin(known.get(n, [])))  # noqa: B023
+            parts.append(F.transform(m, lambda fp: F.struct(F.lit(n).alias("length"), fp.alias("fp"))))  # noqa: B023
+        return F.concat(*parts) if parts else F.array().cast("array<struct<length:int,fp:bigint>>")
+
+    same = ["doc_id", "_h", "_l"]
+    if small:
+        known: dict[int, list[int]] = {}
+        for r in few:
+            known.setdefault(r.length, []).append(r.fp)
+        rows = rows.withColumn("_p", entries(known))
+    else:
+        met = rows.select(*same, F.explode(entries(None)).alias("p")).select(*same, "p.length", "p.fp").join(prints, ["length", "fp"], "left_semi")
+        met = met.groupBy(*[F.col(c).alias(f"_{c}") for c in same]).agg(F.collect_set(F.struct("length", "fp")).alias("_p"))
+        rows = rows.join(met, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_h") == F.col("__h")) & (F.col("_l") == F.col("__l")), "left")
+        rows = rows.withColumn("_p", F.coalesce("_p", F.array().cast("array<struct<length:int,fp:bigint>>")))
+    # The null entry keeps one row per document.
     one = F.array(F.lit(None).cast("struct<length:int,fp:bigint>"))
-    rows = rows.withColumn("n_words", F.size("w").cast("long")).withColumn("p", F.explode(F.concat(one, every)))
+    rows = rows.withColumn("n_words", F.size("w").cast("long")).withColumn("p", F.explode(F.concat(one, "_p")))
     rows = rows.withColumn("length", F.col("p.length")).withColumn("fp", F.col("p.fp"))
     cases = F.lit(None).cast("array<struct<start:int,window:string>>")
     for i, n in enumerate(lengths):
         cases = F.when(F.col("length") == n, _windows(F.col("w"), F.get(F.col("mins"), F.lit(i))["m"], F.col("fp"), n)).otherwise(cases)
-    key = ["doc_id", "_h", "_l", "n_words", "length", "fp"]
-    if small:
-        rows = rows.join(F.broadcast(prints), ["length", "fp"], "left").filter(F.col("fp").isNull() | F.col("_in")).select(*key, cases.alias("x"))
-    else:
-        rows = rows.select(*key, cases.alias("x")).join(prints, ["length", "fp"], "left").filter(F.col("fp").isNull() | F.col("_in"))
+    rows = rows.select(*same, "n_words", "length", "fp", cases.alias("x"))
     hits = rows.select("doc_id", "_h", "_l", "n_words", "length", F.explode_outer("x").alias("x"))
     hits = hits.select("doc_id", "_h", "_l", "n_words", "length", F.col("x.start").alias("start"), F.col("x.window").alias("window"))
     hits = hits.join(side(bench.select("length", "window", "items")), ["length", "window"], "left")
