@@ -3,16 +3,20 @@
 A text's shingles are runs of ``SHINGLE`` words (lower-cased in ASCII; a shorter text is one shingle); texts with equal shingle sets are one
 representative. The fingerprint has 128 bits. In a repetition each level takes a strip of seven random coordinates and keeps, for
 each of sixteen centres, the fingerprints whose partial weight after adding the centre is at most one; with the perfect code's words
-(shifted at random) as centres these lists part the input evenly, and each list goes on to the next level's strip until lists are
-short. Short lists are compared by brute force. Repetitions with fresh strips go on until a pair at the similarity bound is missed with a
-probability of at most 1 - ``recall``, on average over how many bits such a pair differs in and by the radius too, for texts of few
-shingles (whose bits tie) as for long ones; levels and repetitions follow the number of representatives.
+(shifted at random) as centres these lists part their input evenly, and each list goes on to the next level's strip until lists are
+short. Levels and repetitions follow the length of the list that is parted, all representatives at first; a list that is still longer than a block is
+parted again, with fresh strips, levels and repetitions of its own. Short lists are compared by brute force. Repetitions go on until a
+pair at the similarity bound is missed with a probability of at most 1 - ``recall``, on average over how many bits such a pair differs in
+and by the radius too, for texts of few shingles (whose bits tie) as for long ones.
+
+Lists of fingerprints that lie close together can't be parted by strips, nor need they be compared in pairs: ``LEADERS`` members of a long
+list are compared with all; the rows within reach of the largest group of leaders are one group thereby, and only the rest is
+compared with the whole list, block by block. The result is the same as that of all pairs, the work in proportion to the list.
 
 Candidates (fingerprints within ``radius`` bits) only form provisional groups; of a list a spanning forest is passed on, not its pairs. Inside a
 provisional group every close pair that isn't linked yet is verified on the shingle sets (Jaccard of at least ``similarity``), so no link
-is lost to the forest, and verified links alone make the classes. Lists and groups beyond a block are split to pairs of blocks, each
-a task of bounded size that gives a forest too. Connected components are found by alternating star operations on tables in the
-shared folder; nothing but counts comes to the driver.
+is lost to the forest, and verified links alone make the classes; groups longer than a block go by leaders, as lists do. Connected
+components are found by alternating star operations on tables in the shared folder; nothing but counts comes to the driver.
 
 Nulls: a null text is empty. Texts without words are in no group: their class is their own doc_id. A class is named by its least
 doc_id, so it is null only if all are. Repeated rows are copies of each other. Empty table: no rows. The rows are located
@@ -25,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from temploom.llm.common import hot_join, work_dir, written
+from temploom.llm.common import hot_join, parts_for, work_dir, written
 from temploom.llm.substring_dedup import _mix, _pid, rolling, word_hashes
 
 SHINGLE = 5
@@ -36,6 +40,8 @@ FEW = 16  # shingles; sets of no more are looked at one by one for their share o
 LIST = 2000
 BLOCK = 8192
 VERIFY_BLOCK = 1024
+LEADERS = 32
+ROUNDS = 12
 _G = np.array([0b1101000, 0b0110100, 0b1110010, 0b1010001], np.uint8)  # generators of the [7, 4] code
 
 
@@ -136,71 +142,195 @@ def plan(n: int, recall: float, similarity: float) -> tuple[int, int]:
     return levels, high
 
 
-def candidates(reps: DataFrame, n: int, recall: float, similarity: float, path: str, seed: int = 11) -> DataFrame:
-    """Edges x < y between representatives (rid, a, b) whose fingerprints are within the radius: a forest of each list."""
-    levels, times = plan(n, recall, similarity)
-    rnd = np.random.default_rng(seed)
-    strips = [[rnd.permutation(128)[: 7 * levels].reshape(levels, 7), rnd.integers(0, 128, levels)] for _ in range(times)]
-    table = _decode_table()
-    weights = 1 << np.arange(6, -1, -1)
+def _spread(rows: DataFrame, recall: float, similarity: float, seed: int) -> DataFrame:
+    """bucket, m, rid, a, b: rows in the lists that their list of m rows is parted into, with m as it was."""
+    table, weights = _decode_table(), 1 << np.arange(6, -1, -1)
+    sizes = {1 << k: plan(1 << k, recall, similarity) for k in range(44)}
+    plans: dict[int, list] = {}
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def strips(size: int) -> list:
+        """By length class, a power of two, so that all tasks part a list alike."""
+        if size not in plans:
+            levels, times = sizes[size]
+            rnd = np.random.default_rng([seed, size])
+            plans[size] = [(rnd.permutation(128)[: 7 * levels].reshape(levels, 7), rnd.integers(0, 128, levels)) for _ in range(times)]
+        return plans[size]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid, a, b = (np.array(batch.column(x), np.int64) for x in ("rid", "a", "b"))
+            was, m, rid, a, b = (np.array(batch.column(batch.schema.get_field_index(x)), np.int64) for x in ("bucket", "m", "rid", "a", "b"))
             bits = np.unpackbits(np.stack([a, b], 1).view(np.uint8), axis=1).reshape(len(rid), 128)
-            for k, (coords, shift) in enumerate(strips):
-                code = np.full(len(rid), k, np.int64)
-                for level in range(levels):
-                    code = code * 16 + table[(bits[:, coords[level]] @ weights) ^ shift[level]]
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(rid), pa.array(a), pa.array(b)], names=["bucket", "rid", "a", "b"])
-
-    lists = reps.select("rid", "a", "b").mapInArrow(spread, "bucket long, rid long, a long, b long")
-    # Long lists: few, as each holds more than a block of all n * times rows.
-    long_ = lists.groupBy("bucket").count().filter(F.col("count") > BLOCK).select(F.col("bucket").alias("_b"), F.ceil(F.col("count") / BLOCK).cast("int").alias("nb"))
-    long_ = written(long_, "long_lists", path)
-    side = F.broadcast(long_) if long_.count() <= 100_000 else long_
-    lists = _blocked(lists.join(side, F.col("bucket") == F.col("_b"), "left").withColumn("nb", F.coalesce("nb", F.lit(1))).drop("_b"))
-    edges = lists.groupBy("bucket", "bi", "bj").applyInArrow(_forest(radius(recall, similarity)), "x long, y long")
-    return edges.distinct()
-
-
-def _blocked(rows: DataFrame) -> DataFrame:
-    """Rows of a list with nb blocks go to each pair of blocks that has theirs."""
-    own = F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int")
-    rows = rows.withColumn("_o", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    return rows.withColumn("bi", F.least("_o", "_other")).withColumn("bj", F.greatest("_o", "_other")).drop("_o", "_other", "nb")
-
-
-def _close(f: np.ndarray, i: int, j: int, step: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within ``most`` bits of rows i.. and j.. of one tile."""
-    p, q = f[i : i + step], f[j : j + step]
-    d = np.bitwise_count(p[:, None, 0] ^ q[None, :, 0]) + np.bitwise_count(p[:, None, 1] ^ q[None, :, 1])
-    x, y = np.nonzero(d <= most)
-    x, y = x + i, y + j
-    ok = x < y
-    return x[ok], y[ok]
+            size = 1 << np.ceil(np.log2(np.maximum(m, 1))).astype(np.int64)
+            for n in np.unique(size):
+                at = np.flatnonzero(size == n)
+                for k, (coords, shift) in enumerate(strips(int(n))):
+                    code = np.full(len(at), k, np.uint64)
+                    for level in range(len(coords)):
+                        code = code * np.uint64(16) + table[(bits[at][:, coords[level]] @ weights) ^ shift[level]].astype(np.uint64)
+                    bucket = _mix(was[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + code).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, m[at], rid[at], a[at], b[at])], names=["bucket", "m", "rid", "a", "b"])
+
+    return rows.select("bucket", "m", "rid", "a", "b").mapInArrow(run, "bucket long, m long, rid long, a long, b long")
 
 
-def _forest(most: int):
-    def run(t: pa.Table) -> pa.Table:
+def candidates(reps: DataFrame, n: int, recall: float, similarity: float, path: str, seed: int = 11) -> DataFrame:
+    """Edges x < y between representatives (rid, a, b) whose fingerprints are within the radius: a forest of each list."""
+    most, found = radius(recall, similarity), []
+    rows = _spread(reps.select(F.lit(0).cast("long").alias("bucket"), F.lit(n).cast("long").alias("m"), "rid", "a", "b"), recall, similarity, seed)
+    for k in range(ROUNDS):
+        edges, rest = _linked(rows, "bucket", BLOCK, _Links(most), f"{path}/lists{k}", part=k < ROUNDS - 1)
+        found.append(edges)
+        if rest is None:
+            break
+        # What a list loses by being parted again comes on top of what its repetition loses, so it's kept small.
+        rows = _spread(rest, 1 - (1 - recall) / 10, similarity, seed + k + 1)
+    out = found[0]
+    for e in found[1:]:
+        out = out.union(e)
+    return out.distinct()
+
+
+class _Links:
+    """Which rows of a group belong together: close fingerprints, with ``similarity`` also similar shingle sets."""
+
+    columns = ("rid", "a", "b")
+
+    def __init__(self, most: int, similarity: float | None = None) -> None:
+        self.most, self.similarity = most, similarity
+        if similarity is not None:
+            self.columns = (*self.columns, "set")
+
+    def _load(self, t: pa.Table) -> tuple:
         rid = np.array(t["rid"], np.int64)
-        order = np.argsort(rid)
-        rid = rid[order]
+        order = np.argsort(rid, kind="stable")
         f = np.stack([np.array(t["a"], np.int64)[order], np.array(t["b"], np.int64)[order]], 1).view(np.uint64)
-        label, step = np.arange(len(rid)), 512
-        for i in range(0, len(rid), step):
-            for j in range(i, len(rid), step):
-                x, y = _close(f, i, j, step, most)
-                # Pairs inside a group found so far drop out at once, so dense lists cost no loop over their pairs.
-                while (m := label[x] != label[y]).any():
-                    x, y = x[m], y[m]
-                    u, v = int(label[x[0]]), int(label[y[0]])
-                    label[label == max(u, v)] = min(u, v)
-        loose = np.flatnonzero(label != np.arange(len(rid)))
-        out = (rid[label[loose]], rid[loose])
-        return pa.table({"x": pa.array(out[0], pa.int64()), "y": pa.array(out[1], pa.int64())})
-
-    return run
+        sets = None
+        if self.similarity is not None:
+            raw = t["set"]
+            sets = [np.frombuffer(raw[int(k)].as_py(), np.uint32) for k in order]
+        return order, rid[order], f, sets
+
+    def _join(self, label: np.ndarray, f: np.ndarray, sets: list | None, left: np.ndarray, right: np.ndarray) -> None:
+        """Unite the labels of linked rows of left and right (places, ascending)."""
+        size = None if sets is None else np.array([len(s) for s in sets])
+        step = 512 if sets is None else 256
+        same = left is right
+        for i in range(0, len(left), step):
+            p = left[i : i + step]
+            for j in range(i if same else 0, len(right), step):
+                q = right[j : j + step]
+                x, y = _close(f, p, q, self.most)
+                ok = (x != y) & (label[x] != label[y])
+                x, y = x[ok], y[ok]
+                if sets is None:
+                    # Pairs inside a group found so far drop out at once, so dense lists cost no loop over their pairs.
+                    while len(x):
+                        self._unite(label, x[0], y[0])
+                        ok = label[x] != label[y]
+                        x, y = x[ok], y[ok]
+                    continue
+                ok = np.minimum(size[x], size[y]) >= self.similarity * np.maximum(size[x], size[y])
+                for u, v in zip(x[ok], y[ok]):
+                    if label[u] != label[v] and self._similar(sets[u], sets[v]):
+                        self._unite(label, u, v)
+
+    def _similar(self, a: np.ndarray, b: np.ndarray) -> bool:
+        both = _common(a, b)
+        return both >= self.similarity * (len(a) + len(b) - both)
+
+    @staticmethod
+    def _unite(label: np.ndarray, u: int, v: int) -> None:
+        a, b = sorted((int(label[u]), int(label[v])))
+        label[label == b] = a
+
+    def forest(self, t: pa.Table) -> pa.Table:
+        """Edges of a group; with a column ``other``, only links between rows where it is 0 and where it is 1 are looked for."""
+        order, rid, f, sets = self._load(t)
+        label = np.arange(len(rid))
+        if "other" in t.column_names:
+            other = np.array(t["other"], np.int64)[order]
+            twin = np.flatnonzero(rid[1:] == rid[:-1])  # a row may be on both sides
+            label[twin + 1] = label[twin]
+            self._join(label, f, sets, np.flatnonzero(other == 0), np.flatnonzero(other == 1))
+        else:
+            every = np.arange(len(rid))
+            self._join(label, f, sets, every, every)
+        loose = np.flatnonzero(rid[label] != rid)
+        return pa.table({"x": pa.array(rid[label[loose]], pa.int64()), "y": pa.array(rid[loose], pa.int64())})
+
+    def led(self, t: pa.Table) -> pa.Table:
+        """Of a block and its list's leaders (``other`` is 0): edges to the leaders' largest group; rows without have a null x."""
+        order, rid, f, sets = self._load(t)
+        other = np.array(t["other"], np.int64)[order]
+        heads, rows = np.flatnonzero(other == 0), np.flatnonzero(other == 1)
+        label = np.arange(len(rid))
+        self._join(label, f, sets, heads, heads)
+        groups, count = np.unique(label[heads], return_counts=True)
+        root = groups[int(count.argmax())]
+        first = heads[label[heads] == root]
+        mine = np.zeros(len(rid), bool)
+        for i in range(0, len(rows), 512):
+            x, y = _close(f, rows[i : i + 512], first, self.most)
+            if sets is None:
+                mine[x] = True
+            else:
+                for u, v in zip(x, y):
+                    if not mine[u] and self._similar(sets[u], sets[v]):
+                        mine[u] = True
+        key = t.column_names[0]
+        return pa.table({"key": pa.array([t[key][0].as_py()] * len(rows), pa.int64()), "x": pa.array(np.where(mine[rows], rid[root], -1), pa.int64()), "y": pa.array(rid[rows], pa.int64())})
+
+
+def _linked(rows: DataFrame, key: str, block: int, links: _Links, path: str, part: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """A forest of the linked rows of each group (key), and with part those long groups, as rows with their length m, that are neither
+    close together nor failed to shrink when they were parted last (m)."""
+    spread = "m" in rows.columns
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *([F.max("m").alias("_was")] if spread else [])).filter(F.col("_n") > block)
+    sizes = written(sizes.withColumnRenamed(key, "_k"), "long", path)
+    plain = rows.select(key, *links.columns)
+    if sizes.isEmpty():
+        return plain.groupBy(key).applyInArrow(lambda t: links.forest(t), "x long, y long"), None
+    few = sizes.limit(100_001).count() <= 100_000
+    side = F.broadcast(sizes) if few else sizes
+    short = plain.join(side, F.col(key) == F.col("_k"), "left_anti").groupBy(key).applyInArrow(lambda t: links.forest(t), "x long, y long")
+    long_ = written(plain.join(side, F.col(key) == F.col("_k")).withColumn("_nb", F.ceil(F.col("_n") / block).cast("int")).drop("_k"), "rows", path)
+    own = F.pmod(F.xxhash64("rid"), F.col("_nb")).cast("int")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("rid", F.lit(1)), "rid"))
+    heads = long_.withColumn("_r", rank).filter(F.col("_r") <= LEADERS).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).withColumn("other", F.lit(0))
+    blocks = long_.withColumn("_block", own).withColumn("other", F.lit(1))
+    cols = [key, "_block", *links.columns, "other"]
+    led = heads.select(cols).unionByName(blocks.select(cols)).groupBy(key, "_block").applyInArrow(lambda t: links.led(t), "key long, x long, y long")
+    led = written(led, "led", path)
+    edges = short.union(led.filter("x >= 0 and x <> y").select("x", "y"))
+    out = written(led.filter("x < 0").groupBy("key").agg(F.count(F.lit(1)).alias("_out")), "outside", path)
+    if out.isEmpty():
+        return edges, None
+    # Groups that their leaders leave too much of go on to be parted, if parting helps.
+    rest = None
+    out = out.join(sizes, F.col("key") == F.col("_k")).drop("_k")
+    if part and spread:
+        go = (F.col("_out") > 4 * block) & (F.col("_n") * 2 <= F.col("_was"))
+        again = written(out.filter(go).select(F.col("key").alias("_k"), F.col("_n").alias("m")), "again", path)
+        if not again.isEmpty():
+            rest = long_.drop("_n", "_was", "_nb").join(F.broadcast(again) if few else again, F.col(key) == F.col("_k")).drop("_k")
+        out = out.filter(~go)
+    out = out.select("key", F.ceil(F.col("_out") / block).cast("int").alias("_ob"), F.ceil(F.col("_n") / block).cast("int").alias("_nb"))
+    out = F.broadcast(out) if few else out
+    outside = led.filter("x < 0").select(F.col("key").alias("_k2"), F.col("y").alias("_y"))
+    base = long_.drop("_n", "_was", "_nb").join(out, F.col(key) == F.col("key"))
+    left = base.join(outside, (F.col(key) == F.col("_k2")) & (F.col("rid") == F.col("_y")), "left_semi")
+    left = left.withColumn("bi", F.pmod(F.xxhash64("rid", F.lit(2)), F.col("_ob")).cast("int")).withColumn("bj", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).withColumn("other", F.lit(0))
+    right = base.withColumn("bj", F.pmod(F.xxhash64("rid"), F.col("_nb")).cast("int")).withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("_ob") - 1))).withColumn("other", F.lit(1))
+    cols = [F.col(key).alias("group"), "bi", "bj", *links.columns, "other"]
+    both = left.select(cols).unionByName(right.select(cols)).groupBy("group", "bi", "bj").applyInArrow(lambda t: links.forest(t), "x long, y long")
+    return edges.union(both), rest
+
+
+def _close(f: np.ndarray, p: np.ndarray, q: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of p and q whose fingerprints differ in at most ``most`` bits."""
+    d = np.bitwise_count(f[p][:, None, 0] ^ f[q][None, :, 0]) + np.bitwise_count(f[p][:, None, 1] ^ f[q][None, :, 1])
+    x, y = np.nonzero(d <= most)
+    return p[x], q[y]
 
 
 def components(edges: DataFrame, path: str, most: int = 60) -> DataFrame:
@@ -223,37 +353,6 @@ def components(edges: DataFrame, path: str, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _verify(similarity: float, most: int):
-    def run(t: pa.Table) -> pa.Table:
-        rid = np.array(t["rid"], np.int64)
-        order = np.argsort(rid)
-        rid = rid[order]
-        f = np.stack([np.array(t["a"], np.int64)[order], np.array(t["b"], np.int64)[order]], 1).view(np.uint64)
-        raw = t["set"].to_pylist()
-        sets = [np.frombuffer(raw[k], np.uint32) for k in order]
-        size = np.array([len(s) for s in sets])
-        label, step = np.arange(len(rid)), 256
-        for i in range(0, len(rid), step):
-            for j in range(i, len(rid), step):
-                x, y = _close(f, i, j, step, most)
-                ok = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y])
-                x, y = x[ok], y[ok]
-                for r in np.unique(x):
-                    mates = y[x == r]
-                    mates = mates[label[mates] != label[r]]
-                    for k in mates:
-                        if label[k] == label[r]:
-                            continue
-                        both = _common(sets[r], sets[k])
-                        if both >= similarity * (size[r] + size[k] - both):
-                            u, v = sorted((int(label[r]), int(label[k])))
-                            label[label == v] = u
-        loose = np.flatnonzero(label != np.arange(len(rid)))
-        return pa.table({"x": pa.array(rid[label[loose]], pa.int64()), "y": pa.array(rid[loose], pa.int64())})
-
-    return run
-
-
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     both = np.concatenate([a, b])
     both.sort()
@@ -261,8 +360,8 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _member_sets(docs: DataFrame, members: str) -> DataFrame:
-    """rid, group, nb, fingerprint and shingle set of the rows that the table (partitioned by pid) lists; only those leave a task."""
-    schema = pa.schema([("rid", pa.int64()), ("root", pa.int64()), ("nb", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("set", pa.binary())])
+    """rid, group, fingerprint and shingle set of the rows that the table (partitioned by pid) lists; only those leave a task."""
+    schema = pa.schema([("rid", pa.int64()), ("root", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("set", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.dataset as ds
@@ -281,12 +380,12 @@ def _member_sets(docs: DataFrame, members: str) -> DataFrame:
                     h = shingles(t.as_py())
                     if _digest(h) != r["digest"]:
                         raise RuntimeError("the documents came in another order than before; write them to a table first")
-                    rows.append((r["rid"], r["root"], r["nb"], r["a"], r["b"], np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes()))
+                    rows.append((r["rid"], r["root"], r["a"], r["b"], np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes()))
             at += b.num_rows
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "rid long, root long, nb int, a long, b long, set binary")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "rid long, root long, a long, b long, set binary")
 
 
 def near_classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.98, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -300,13 +399,11 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.98,
     reps = written(reps, "reps", path)
     n = reps.count()
     loose = components(candidates(reps, n, recall, similarity, path), f"{path}/loose")
-    # Members of provisional groups, with the number of blocks of their group.
-    roots = loose.groupBy("root").agg(F.count(F.lit(1)).alias("c")).withColumn("nb", F.ceil((F.col("c") + 1) / VERIFY_BLOCK).cast("int")).drop("c")
-    members = loose.join(roots, "root").union(roots.select("root", F.col("root").alias("node"), "nb"))
-    members = members.join(reps, F.col("node") == F.col("rid")).select(F.col("first.pid").alias("pid"), F.col("first.idx").alias("idx"), "digest", "rid", "root", "nb", "a", "b")
-    members.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4), "pid").write.partitionBy("pid").parquet(f"{path}/members")
-    sets = _blocked(_member_sets(docs, f"{path}/members"))
-    links = sets.groupBy("root", "bi", "bj").applyInArrow(_verify(similarity, radius(recall, similarity)), "x long, y long")
+    members = loose.union(loose.select(F.col("root").alias("node"), "root").distinct())
+    members = members.join(reps, F.col("node") == F.col("rid")).select(F.col("first.pid").alias("pid"), F.col("first.idx").alias("idx"), "digest", "rid", "root", "a", "b")
+    members.repartition(parts_for(docs), "pid").write.partitionBy("pid").parquet(f"{path}/members")
+    sets = written(_member_sets(docs, f"{path}/members"), "sets", path)
+    links, _ = _linked(sets, "root", VERIFY_BLOCK, _Links(radius(recall, similarity), similarity), f"{path}/verify")
     final = components(links, f"{path}/final")
     named = reps.join(final, F.col("rid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rid"))
     class_ = named.groupBy("root").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))
