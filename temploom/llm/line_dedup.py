@@ -10,8 +10,8 @@ texts reach cannot hold such a template, equal masked lines are one, and of a li
 ``least`` members just if that of those has). The fold streams sorted rows and holds one leaf's templates, found by an index and not by
 a scan. The places of bad lines are gathered by text, and each text drops its own.
 
-Texts are told apart by two 64-bit hashes with different seeds (two differing texts agree with probability 2**-128). Copies of a text
-are one to the count, as their repetition is exact dedup's business.
+Texts and masked lines are told apart by two 64-bit hashes with different seeds (two differing ones agree with probability 2**-128).
+Copies of a text are one to the count, as their repetition is exact dedup's business.
 
 Nulls: a null text stays null with no lines. Blank lines are kept and not counted. doc_id is a name only: null and repeated ones are
 fine, and repeated rows are given back as often as they came. Empty table: no rows. Extra columns aren't read.
@@ -28,7 +28,7 @@ from temploom.llm.common import work_dir, written
 from temploom.operators.fold import LeafFold
 
 SMALL = 16_000_000  # bytes of keys up to which a side is broadcast
-_LEAF = 48  # bytes a row of a leaf or of a masked line takes besides its text
+_ROW = 48  # bytes that a row of hashes takes at most
 
 
 def masked(line: Column) -> Column:
@@ -50,22 +50,24 @@ def _key(docs: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame, path: str) -> DataFrame:
-    """_a, _b (the text), pos, m, lh (hash of the leaf) of all lines that aren't blank, written to the shared folder."""
+    """_a, _b (the text), pos, m, _c, _d (hashes of m), lh (hash of the leaf) of all lines that aren't blank, written to the shared folder."""
     rows = _key(docs).filter("text is not null").select("_a", "_b", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.select("_a", "_b", "pos", masked(F.col("line")).alias("m")).filter("m != ''")
-    return written(rows.withColumn("lh", F.xxhash64(leaf(F.col("m")))), "lines", path)
+    rows = rows.select("*", F.xxhash64("m").alias("_c"), F.xxhash64(F.lit(1), F.col("m")).alias("_d"), F.xxhash64(leaf(F.col("m"))).alias("lh"))
+    rows.write.option("compression", "zstd").parquet(f"{path}/lines")
+    return docs.sparkSession.read.parquet(f"{path}/lines")
 
 
-def _side(df: DataFrame, size: Column) -> DataFrame:
-    """Broadcast if its rows take at most SMALL bytes, measured."""
-    return F.broadcast(df) if (df.agg(F.sum(size)).head()[0] or 0) <= SMALL else df
+def _side(df: DataFrame) -> DataFrame:
+    """Rows of hashes, broadcast if they take at most SMALL bytes by their number."""
+    return F.broadcast(df) if df.count() * _ROW <= SMALL else df
 
 
 def recurring(lines: DataFrame, least: int, threshold: float, path: str) -> DataFrame:
     """m, template: masked lines whose template ``least`` texts have."""
     leaves = lines.select("lh", "_a", "_b").distinct().groupBy("lh").count().filter(F.col("count") >= least).select("lh")
     leaves = written(leaves, "leaves", path)
-    few = lines.join(_side(leaves, F.lit(_LEAF)), "lh", "left_semi").select("m", "_a", "_b").distinct()
+    few = lines.join(_side(leaves), "lh", "left_semi").select("m", "_a", "_b").distinct()
     few = few.withColumn("_r", F.row_number().over(Window.partitionBy("m").orderBy("_a", "_b"))).filter(F.col("_r") <= least)
     each = few.groupBy("m").agg(F.collect_list(F.struct("_a", "_b")).alias("ds")).withColumn("leaf", leaf(F.col("m")))
 
@@ -106,8 +108,8 @@ def drop_lines(docs: DataFrame, least: int = 4, threshold: float = 0.7) -> DataF
     """Per document: doc_id, n_lines (not blank), n_dropped, kept_text."""
     path = work_dir(docs.sparkSession)
     lines = lines_of(docs, path)
-    bad = recurring(lines, least, threshold, path).select("m")
-    hits = lines.select("m", "_a", "_b", "pos").join(_side(bad, F.length("m") * 2 + _LEAF), "m").select("_a", "_b", "pos").distinct()
+    bad = recurring(lines, least, threshold, path).select(F.xxhash64("m").alias("_c"), F.xxhash64(F.lit(1), F.col("m")).alias("_d"))
+    hits = lines.select("_c", "_d", "_a", "_b", "pos").join(_side(bad), ["_c", "_d"], "left_semi").select("_a", "_b", "pos").distinct()
     hits = hits.groupBy("_a", "_b").agg(F.collect_list("pos").alias("_bad"))
     out = _key(docs).join(hits, ["_a", "_b"], "left").withColumn("_x", F.split("text", "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("_x") - 1), F.col("_bad"))
