@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 LETTERS = re.compile(r"[^\W\d_]+")
 BITS = 16
 STEP = 64  # words of a training sequence
-SLICE = 4_000_000  # characters predicted at once, but for a longer single text
+SLICE = 2_000_000  # characters predicted at once, but for a longer single text
 
 
 def held_out(doc_id: Column) -> Column:

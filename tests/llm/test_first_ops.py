@@ -81,7 +81,7 @@ def decon_brute(rows, items, window=13):
     return out
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
+@pytest.mark.parametrize("limit", [20_000, 0])
 def test_decontaminate(spark, nasty, empty, limit):
     r = random.Random(5)
     voc = ["ab", "Cd", "éf", "x1", "q"]
@@ -89,9 +89,9 @@ def test_decontaminate(spark, nasty, empty, limit):
     items = [(1, text(30)), (2, text(14)), (3, "Solo"), (4, text(5)), (5, None), (6, "..."), (7, "a b c d e f"), (12, text(13)), (None, "same text here now")]
     rows = [(i, text(r.randint(0, 60))) for i in range(40)] + [(100, "z " * 20 + items[0][1].upper() + " y"), (101, items[0][1][:60]), (102, "zz solo zz"), (103, items[0][1] + " " + items[1][1])] + [(x.doc_id, x.text) for x in nasty.collect()]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("length", F.lit("x"))
-    got = [(x.doc_id, x.n_words, x.n_hit, ",".join(x["items"]), x.contaminated) for x in dc.decontaminate(docs_of(spark, rows), bench, broadcast_rows=limit).collect()]
+    got = [(x.doc_id, x.n_words, x.n_hit, ",".join(x["items"]), x.contaminated) for x in dc.decontaminate(docs_of(spark, rows), bench, in_plan=limit, broadcast_bytes=1000 * limit).collect()]
     assert sorted(got, key=KEY) == sorted(decon_brute(rows, items), key=KEY)
-    assert dc.decontaminate(nasty, bench, broadcast_rows=limit).count() == nasty.count()
+    assert dc.decontaminate(nasty, bench, in_plan=limit, broadcast_bytes=1000 * limit).count() == nasty.count()
     assert {x.n_hit for x in dc.decontaminate(nasty, bench.filter("false")).collect()} == {0} and dc.decontaminate(empty, bench).count() == 0
 
 
@@ -157,11 +157,44 @@ def test_token_output(spark, nasty, empty, tmp_path):
     got = sorted(map(tuple, to.read_documents(spark, str(tmp_path), manifest).collect()), key=lambda r: (r[1], r[2]))
     assert got == plain_tokens(rows, tok)
     first = to.ShardReader(str(tmp_path), manifest.orderBy("shard").head().shard)
-    ids, mask = first.sequence(0)
-    assert len(ids) == 64 and mask.all() and list(ids) == list(next(first.pieces(0, 64)))
+    ids, packed = first.sequence(0)
+    assert len(ids) == 64 and first.mask(0).all() and list(ids) == list(next(first.pieces(0, 64)))
+    assert ids.base is not None and packed.base is not None and len(packed) == 8  # views of the file
+    last = [to.ShardReader(str(tmp_path), r.shard) for r in manifest.collect()]
+    for r, s in zip(manifest.collect(), last):
+        n = sum(s.ids.get_batch(i).num_rows for i in range(s.ids.num_record_batches))
+        assert n == -(-r.n_tokens // 64) and sum(int(s.mask(i).sum()) for i in range(n)) == r.n_tokens
     assert to.token_output(empty, path).count() == 0
 
 
+def test_rows_of_one_id_spread(spark, tmp_path):
+    import public_tokenizers
+
+    rows = [(7, f"t{i % 50}") for i in range(3000)] + [(8, "same") for _ in range(3000)] + [(None, None)] * 3
+    docs = docs_of(spark, rows).repartition(6)
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    m = to.write_tokens(docs, str(tmp_path), path, shards=8)
+    got = sorted(map(tuple, to.read_documents(spark, str(tmp_path), m).collect()), key=lambda r: (r[1], r[2]))
+    assert len(got) == len(rows) and max(r.n_docs for r in m.collect()) < 2500
+    assert [r[0] for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0)) and all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:]))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_whole_texts(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path(name))
+    tok, enc, r = Tokenizer.from_file(path), to.Encoder(path, 2), random.Random(3)
+    assert enc.by_word == name.startswith("word")
+    some = list("abzAZ  \n\t\r.,;!?\"#'()<|>_-019") + list("İıŉẞßéÉñΣςσǅƻﬁ½²ⅷⅧªº\u0301\u0307\u0338\u00a0\u2028\x1c\x85\u200dक्षकि中文😀") + ["<|endoftext|>", "it's", "I'LL", "wörld.", "İ\"", "Ab,", " "]
+    texts = ["".join(r.choice(some) for _ in range(r.randrange(14))) for _ in range(40_000 if enc.by_word else 2000)]
+    for k in range(0, len(texts), 500):
+        part = texts[k : k + 500]
+        want = [np.array(e.ids + [2], enc.kind).tobytes() for e in tok.encode_batch(part, add_special_tokens=False)]
+        assert enc.texts(part) == want
+
+
 def repeats_brute(rows, n=35):
     words = [WORD.findall(t or "") for _, t in rows]
     count = Counter(tuple(w[k : k + n]) for w in words for k in range(len(w) - n + 1))

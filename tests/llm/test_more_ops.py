@@ -73,6 +73,37 @@ def test_extract_articles_of_the_pages(spark, model):
         assert hx.main_text(model, r.html) == "\n\n".join(x for x in parts if x)
 
 
+def test_unseen_layouts_and_names(model):
+    """Held-out pages: other seeds, all blocks named, none named, and names that no training page has."""
+    other = {k: " ".join(f"zq{w}" for w in v.split()) for k, v in hx._NAMES.items()} | {k: hx._NAMES[k] for k in ("ad", "talk")}
+    for kw in ({"seed": 99}, {"seed": 5, "told": 1.0}, {"seed": 6, "told": 0.0}, {"seed": 8, "told": 1.0, "names": other}):
+        hit = want = got = 0
+        for page in hx.labelled_pages(150, **kw):
+            nodes = hx.parse(page)
+            p1, _ = model.marginals(nodes)
+            for x, y, p in zip(nodes, hx.labels(nodes), p1):
+                if x.text is not None:
+                    hit, want, got = hit + (y and p > 0.5), want + y, got + (p > 0.5)
+        assert hit >= 0.98 * want and hit >= 0.98 * got, kw
+
+
+def test_asides_and_wrappers(model):
+    parts = '<h1>A title</h1><p>Some text of the page here, long enough to be read.</p><aside class="related"><p>Read this too, it is fine.</p></aside><p>More text of the same story and its end.</p>'
+    want = "A title\n\nSome text of the page here, long enough to be read.\n\nMore text of the same story and its end."
+    for around in ('<article class="has-sidebar">{}</article>', '<div class="wrapper"><div class="story">{}</div></div>', '<div class="x1"><div class="y2">{}</div></div>'):
+        page = f"<html><body><nav><a href=/>Home</a></nav>{around.format(parts)}<footer>&copy; 2020 x</footer></body></html>"
+        assert hx.main_text(model, page) == want, around
+
+
+def test_hostile_pages_take_linear_time(model):
+    import time
+
+    for s in ("<a " * 300_000, '<a x="' * 200_000, "<a x='" * 200_001 + ">", "<div>" * 16_000 + "x" + "</div>" * 16_000, "<p>" * 50_000, "</ " * 300_000, "<!--" * 200_000, "<li><ul>" * 10_000, "<ul><li>" + "<div>" * 10_000 + "<li></li>" * 10_000, "<script>" * 50_000, '<a =">' * 100_000):
+        began = time.process_time()
+        hx.main_text(model, s)
+        assert time.process_time() - began < 10, s[:20]
+
+
 # --- near-dedup --------------------------------------------------------------------------------------------------------------
 
 
