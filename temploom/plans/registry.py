@@ -396,8 +396,8 @@ _LINES = "unnest(generate_series(0, len(string_split(x, chr(10))) - 1)) n, unnes
 
 
 @query(f"""with {_Z0}, wide as (select greatest(2, max(len(id::varchar))) wi, greatest(4, max(len(size::varchar))) ws from r),
-    x as (select lpad('ID', any_value(wi)::int, ' ') || '  ' || lpad('SIZE', any_value(ws)::int, ' ') || '  TEMPLATE' || chr(10) || string_agg(lpad(id::varchar, wi::int, ' ') || '  ' || lpad(size::varchar, ws::int, ' ') || '  ' || template || chr(10), '' order by size desc, id) x from r, wide)
-    select {_LINES} from x""")
+    page as (select lpad('ID', any_value(wi)::int, ' ') || '  ' || lpad('SIZE', any_value(ws)::int, ' ') || '  TEMPLATE' || chr(10) || string_agg(lpad(id::varchar, wi::int, ' ') || '  ' || lpad(size::varchar, ws::int, ' ') || '  ' || template || chr(10), '' order by size desc, id) x from r, wide)
+    select {_LINES} from page""")
 def render_text(s, d):
     return _page(s, cat.render(_doc_catalog(s, d), "text"))
 
@@ -405,10 +405,10 @@ def render_text(s, d):
 _MEMBERS = f"{_sim0(EV)}, m as (select n, k, member, min(seq) q from t group by all), a as (select n, k, list(member order by q) members from m group by all), r as (select *, row_number() over (order by first_seq) id, case when event_last_ms - event_first_ms < 1000 then 0.0::double else size / ((event_last_ms - event_first_ms) / 1000.0::double / 60.0::double) end rate from z join a using (n, k))"
 
 
-@query(f"""with {_MEMBERS}, x as (select '[' || chr(10) || string_agg('  {{' || chr(10) || '    "createdAt": null,' || chr(10) || '    "eventFirstSeen": ' || event_first_ms || ',' || chr(10) || '    "eventLastSeen": ' || event_last_ms || ',' || chr(10)
+@query(f"""with {_MEMBERS}, page as (select '[' || chr(10) || string_agg('  {{' || chr(10) || '    "createdAt": null,' || chr(10) || '    "eventFirstSeen": ' || event_first_ms || ',' || chr(10) || '    "eventLastSeen": ' || event_last_ms || ',' || chr(10)
       || '    "eventRatePerMinute": ' || to_json(rate) || ',' || chr(10) || '    "id": ' || id || ',' || chr(10) || '    "linesPerMinute": 0.0,' || chr(10) || '    "members": [' || chr(10) || array_to_string(list_transform(members, lambda y: '      ' || to_json(y)), ',' || chr(10)) || chr(10) || '    ],' || chr(10)
       || '    "size": ' || size || ',' || chr(10) || '    "suffix": null,' || chr(10) || '    "template": ' || to_json(template) || ',' || chr(10) || '    "updatedAt": null' || chr(10) || '  }}', ',' || chr(10) order by id) || chr(10) || ']' x from r)
-    select {_LINES} from x""")
+    select {_LINES} from page""")
 def render_json(s, d):
     return _page(s, cat.render(mine(l_ev(s, d), ZERO).catalog, "json", "id"))
 
