@@ -8,6 +8,8 @@ from temploom.functions.masks import apply_masks
 from temploom.operators.options import MinerOptions
 
 TOKEN = "struct<text:string,lead:string,trail:string>"
+#: Unicode's white space, spelled out: the regex engine decides a class of ranges faster than a property.
+WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def first_line(col: Column) -> Column:
@@ -21,7 +23,7 @@ def suffix(col: Column) -> Column:
 
 
 def whitespace_pieces(col: Column) -> Column:
-    return F.filter(F.split(col, r"(?U)\s+"), lambda t: t != "")
+    return F.array_remove(F.split(col, WHITE + "+"), "")
 
 
 def _class(delims: str) -> str:

@@ -31,11 +31,12 @@ def _joined(tokens: Column, part: str) -> Column:
     return F.when(F.exists(tokens, lambda t: t[part].isNotNull()), F.array_join(every, " "))
 
 
-def fold_input(tok: DataFrame) -> DataFrame:
+def fold_input(tok: DataFrame, opts: MinerOptions) -> DataFrame:
     """What the fold reads of tokenized records."""
+    part = lambda x: _joined(F.col("tokens"), x) if opts.active_delimiters else F.lit(None).cast("string")
     return tok.select(
         F.lit(1).alias("ord"), "n_tokens", F.array_join("leaf_keys", " ").alias("leaf"), F.col("seq").cast("long").alias("seq"), F.array_join("tokens.text", " ").alias("vec"),
-        _joined(F.col("tokens"), "lead").alias("lead"), _joined(F.col("tokens"), "trail").alias("trail"), "suffix",
+        part("lead").alias("lead"), part("trail").alias("trail"), "suffix",
         _opt(tok, "event_ms", "long").alias("event_ms"), _opt(tok, "observed_ms", "long").alias("observed_ms"), _opt(tok, "member", "string").alias("member"), F.lit(None).cast("string").alias("seed"),
     )
 
@@ -118,7 +119,7 @@ def mine(records: DataFrame, opts: MinerOptions = MinerOptions(), *, initial: Da
     single-threaded run in seq order: a record's leaf is a function of the record alone, so leaves are folded independently, each by
     one task. Ids are ranks of creating records, evicted ones included, after ``counter``.
     """
-    rows = fold_input(with_tokens(records, opts))
+    rows = fold_input(with_tokens(records, opts), opts)
     if initial is not None:
         rows = rows.unionByName(seed_rows(initial, opts))
     keys = ("n_tokens", "leaf")

@@ -46,30 +46,40 @@ def _numbered(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One physical line per record; one carriage return before the line feed is stripped."""
+    """One physical line per record; one carriage return before the line feed is stripped. Bytes that aren't UTF-8 are an error."""
     df = _numbered(spark, paths, "\n")
-    return df.withColumn("record", F.regexp_replace("record", r"\r\z", ""))
+    line = F.when(F.is_valid_utf8("record"), F.col("record")).otherwise(F.raise_error(F.lit("a line is not valid UTF-8")))
+    return df.withColumn("record", F.regexp_replace(line, r"\r\z", ""))
 
 
 def read_separated(spark: SparkSession, paths: list[str], separator: str) -> DataFrame:
-    """Records between occurrences of a literal separator (escapes allowed)."""
+    """Records between occurrences of a literal separator (escapes allowed). Bytes that aren't UTF-8 become U+FFFD."""
     sep = unescape(separator)
     if not sep:
         raise InvalidConfig("the record separator is empty")
-    return _numbered(spark, paths, sep)
+    return _numbered(spark, paths, sep).withColumn("record", F.make_valid_utf8("record"))
+
+
+#: Lines are counted in ranges of so many seq values, so that a large source isn't one task.
+RANGE = 100_000
 
 
 def assemble_multiline(lines: DataFrame, start: str) -> DataFrame:
     """Join lines to records: a line matching ``start`` opens one; leading empty lines of a record without an opener are dropped.
 
-    One shuffle on source; a source's lines are sorted, not collected, until they are grouped by record.
+    A line's record is the number of openers up to it: those of the ranges before, by prefix sums over one row a range, and those of its
+    own range. So no task sorts more than a range of a source's lines, or one record.
     """
     from temploom.functions.masks import java_pattern
 
-    w = Window.partitionBy("source").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opens = F.col("record").rlike(java_pattern(start))
-    g = lines.withColumn("_g", F.sum(opens.cast("long")).over(w)).withColumn("_text", F.max(((F.col("record") != "") | opens).cast("int")).over(Window.partitionBy("source", "_g").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    g = g.filter(F.col("_text") == 1)
+    upto = lambda *keys: Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = lines.select("source", "seq", "record").withColumn("_open", F.col("record").rlike(java_pattern(start))).withColumn("_range", F.floor(F.col("seq") / RANGE))
+    counts = rows.groupBy("source", "_range").agg(F.count_if("_open").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_before"))
+    g = rows.join(counts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+    g = g.withColumn("_g", F.col("_before") + F.sum(F.col("_open").cast("long")).over(upto("source", "_range")))
+    g = g.withColumn("_text", F.max(((F.col("record") != "") | F.col("_open")).cast("int")).over(upto("source", "_g"))).filter(F.col("_text") == 1)
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "record"))), lambda x: x["record"]), "\n")
     return g.groupBy("source", "_g").agg(F.min("seq").alias("seq"), joined.alias("record")).select("source", "seq", "record")
 

@@ -49,7 +49,7 @@ def mine_stream(records: DataFrame, opts: MinerOptions = MinerOptions()) -> Data
 
     The session needs the RocksDB state store provider.
     """
-    rows = fold_input(with_tokens(records, opts)).drop("ord", "seed")
+    rows = fold_input(with_tokens(records, opts), opts).drop("ord", "seed")
     return rows.groupBy("n_tokens", "leaf").transformWithStateInPandas(LeafProcessor(opts.sim_threshold, opts.max_clusters_per_leaf, opts.wildcard), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
 
 

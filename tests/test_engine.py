@@ -241,6 +241,41 @@ def test_cli(spark, tmp_path, capsys):
         assert e.value.code == 2
 
 
+def test_invalid_utf8(spark, tmp_path):
+    from temploom.sources.records import read_records
+
+    f = tmp_path / "bad.log"
+    f.write_bytes(b"ok\nb\xffd;next\n")
+    with pytest.raises(Exception, match="not valid UTF-8"):
+        read_records(spark, [str(f)]).collect()
+    assert [r.record for r in read_records(spark, [str(f)], separator=";").orderBy("seq").collect()] == ["ok\nb\ufffdd", "next\n"]
+
+
+@pytest.mark.parametrize("size", [1, 3, 100_000])
+def test_multiline_over_ranges(spark, monkeypatch, size):
+    import random
+
+    from temploom.sources import records as rec
+
+    monkeypatch.setattr(rec, "RANGE", size)
+    r = random.Random(size)
+    rows = [(s, i * 2, r.choice(["", "E x", "a", " b", ""])) for s in ("f", "g", None) for i in range(60)]
+    want = []
+    for s in ("f", "g", None):
+        cur = None
+        for _, i, x in [y for y in rows if y[0] == s]:
+            if x.startswith("E") or (cur is None and x):
+                if cur:
+                    want.append(tuple(cur))
+                cur = [s, i, x]
+            elif cur:
+                cur[2] += "\n" + x
+        if cur:
+            want.append(tuple(cur))
+    got = rec.assemble_multiline(spark.createDataFrame(rows, "source string, seq long, record string").repartition(4), "^E").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_index_equals_scan():
     import random
 
