@@ -386,25 +386,164 @@ def test_classify_drops_repeated_words(spark):
     assert np.mean(good) > 0.95 and np.mean(bad) < 0.03 and len(again) >= 5 and not any(again)
 
 
+def test_thresholds_equal_brute_force(spark):
+    """Perplexities, thresholds (the least value that a share of the language's held-out trusted texts doesn't exceed) and decisions."""
+    import zlib
+
+    r = random.Random(5)
+    make = lambda abc, n: "".join(r.choice(abc) for _ in range(n))
+    rows = [(i, make("aab c" if i % 5 else "xyz!", r.randrange(1, 60)), r.choice(["en", "de", None, "few"] if i % 9 else ["zz"])) for i in range(160)] + [(200, "", "en"), (201, None, "de"), (3, "aab", "en")]
+    labels = [(i, int(i % 5 > 0), int(i % 11 == 0)) for i in range(120)] + [(7, 0, 0), (None, 1, 0), (13, 1, None)]
+    quality, toxic = defaultdict(list), defaultdict(list)
+    for i, q, x in labels:
+        quality[i].append(q)
+        toxic[i].append(x or 0)
+    trusted = {i for i in quality if i is not None and min(quality[i]) == 1 and max(toxic[i]) == 0}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 0
+    perp = kn_brute([t or "" for i, t, _ in rows if i in trusted and not held(i)], [t or "" for _, t, _ in rows])
+    cut = lambda v, q: sorted(v)[max(0, math.ceil(q * len(v)) - 1)]
+    mine = [(g, p) for (i, _, g), p in zip(rows, perp) if i in trusted and held(i) and p is not None]
+    by = {g: cut([p for x, p in mine if x == g], 0.8) for g in {x for x, _ in mine}}
+    every = cut([p for _, p in mine], 0.8)
+    want = [(i, g, p, by.get(g, every), p is not None and p <= by.get(g, every)) for (i, _, g), p in zip(rows, perp)]
+    at = f"{spark.conf.get('spark.checkpoint.dir')}/cut"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(at)
+    got = ql.classify(spark.read.parquet(at), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), quantile=0.8).collect()
+    key = lambda x: (x[0], x[1] or "", x[2] or 0)
+    for a, b in zip(sorted(((x.doc_id, x.lang, x.perplexity, x.threshold, x.keep) for x in got), key=key), sorted(want, key=key), strict=True):
+        assert a[:2] == b[:2] and a[4] == b[4] and all((x is None) == (y is None) and (x is None or abs(x / y - 1) < 1e-4) for x, y in zip(a[2:4], b[2:4]))
+
+
+def test_ngrams_of_large_alphabets_and_long_texts(spark, monkeypatch):
+    r = random.Random(2)
+    wide = "".join(chr(r.randrange(0x4E00, 0x4E00 + 9000)) for _ in range(20_000))  # too many symbols for a number an n-gram
+    long = "".join(r.choice("ab cé") for _ in range(3000))
+    for t in (wide, long):
+        want = Counter((ql.START * (ql.ORDER - 1) + t)[i : i + ql.ORDER] for i in range(len(t)))
+        for block in (700, 10**6):
+            monkeypatch.setattr(ql, "BLOCK", block)
+            have = Counter()
+            for c, _, n in ql._pieces(["", t]):
+                grams, count, u, keys = ql._distinct(c, ql._starts(n))
+                have.update(dict(zip(ql._strings(grams).to_pylist(), count.tolist())))
+                assert (u[ql._places(u, keys)] == keys).all()
+            assert have == want
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------------------------
 
 
-def test_pipeline_stages(spark):
-    import corpus_pipeline as cp
+def near_brute(rows):
+    """rows: (doc_id, text, ...) without null ids among duplicates; the row of each class that stays has its least id."""
+    names, out, seen = dict(), [], set()
+    sets = [frozenset(nd.shingles(r[1]).tolist()) for r in rows]
+    up = list(range(len(rows)))
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    sizes = [docs.count()]
-    for name, stage in cp.STAGES[:-1]:
-        at = f"{spark.conf.get('spark.checkpoint.dir')}/p_{name}"
-        stage(spark, docs, SF).write.parquet(at)
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and both >= 0.8 * len(sets[i] | sets[j]):
+                up[find(i)] = find(j)
+    for i, r in enumerate(rows):
+        k = find(i)
+        names[k] = min(names.get(k, (True, 0)), (r[0] is None, r[0] or 0))
+    for i, r in enumerate(rows):
+        k = find(i)
+        if not sets[i]:
+            out.append(r)
+        elif (r[0] is None, r[0] or 0) == names[k] and k not in seen:
+            seen.add(k)
+            out.append(r)
+    return out
+
+
+def mixed_brute(rows, weight):
+    """(row, times) of the mix of rows (doc_id, text, lang, source, ...)."""
+    import hashlib
+
+    from test_first_ops import WORD, mix_brute
+
+    words, target = mix_brute([(r[0], r[3], r[1]) for r in rows], None)
+    out = []
+    for s in words:
+        mine = []
+        for r in rows:
+            if r[3] == s:
+                u = (int(hashlib.md5(str("" if r[0] is None else r[0]).encode()).hexdigest()[:13], 16) + 1) / (2**52 + 2)
+                mine.append((-math.log(u) / weight.get(r[0], 1.0), r[0] is not None, r[0] or 0, len(WORD.findall(r[1] or "")), r))
+        epochs = int(target[s] // words[s]) if words[s] else 0
+        rest, upto = target[s] - epochs * words[s], 0
+        for _, _, _, size, r in sorted(mine, key=lambda x: x[:4]):
+            upto += size
+            out.append((r, epochs + (rest > 0 and upto - size < rest and upto - size / 2 <= rest)))
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, nasty, tmp_path):
+    """Every stage and the whole run, over rows with nulls, repeats and columns that clash, against plain Python."""
+    import shutil
+
+    import corpus_pipeline as cp
+    import public_tokenizers
+    from test_first_ops import decon_brute, plain_tokens
+    from tokenizers import Tokenizer
+
+    every = [r for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [tuple(r) for r in every] + [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in nasty.collect()]
+    rows += [tuple(every[0])] * 3 + [(None, items[0][1], "en", "s1", 5), (20_000, items[0][1], None, None, 5), (20_000, "another clean text that shares its id with a bad one", "en", "s1", 5)]
+    df = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").schema)
+    df = df.selectExpr("*", "'x' as score", "1 as lang_pred", "2 as certainty", "3 as _row", "4 as _p", "5 as _n", "6 as _c", "7 as kept", "8 as `a.b`")
+    sf = str(tmp_path)
+    df.repartition(3).write.parquet(f"{sf}/documents.parquet")
+    for name in ("benchmark", "labels"):
+        shutil.copytree(f"{SF}/{name}.parquet", f"{sf}/{name}.parquet") if __import__("os").path.isdir(f"{SF}/{name}.parquet") else shutil.copy(f"{SF}/{name}.parquet", f"{sf}/{name}.parquet")
+    weight: dict = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        weight[r.doc_id] = max(weight.get(r.doc_id, 0), 2.0 if r.quality == 1 else 0.5)
+    model = li.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    model.w, model.lex = model.w.astype(np.float32), model.lex.astype(np.float32)
+
+    def known(t):
+        w = li.words_of(t)
+        return bool(w) and model.predict([w])[0][2] >= cp.least_certainty(len(model.langs))
+
+    def clean(rs):
+        return [r for r, x in zip(rs, decon_brute([(r[0], r[1]) for r in rs], items)) if not x[4]]
+
+    brute = [lambda rs: [r for r in rs if known(r[1])], near_brute, clean, lambda rs: [r for r, n in mixed_brute(rs, weight) for _ in range(n)]]
+    want, docs = rows, spark.read.parquet(f"{sf}/documents.parquet")
+    for (name, stage), f in zip(cp.STAGES[:-1], brute, strict=True):
+        at = f"{sf}/{name}"
+        stage(spark, docs, sf).write.parquet(at)
         after = spark.read.parquet(at)
-        assert after.columns == docs.columns
-        if name == "near_dedup":
-            assert {x.doc_id for x in after.collect()} == {c for _, c in classes_brute([(x.doc_id, x.text) for x in docs.collect()])}
-        docs = after
-        sizes.append(docs.count())
-    last = cp.STAGES[-1][1](spark, docs, SF)
-    assert last.count() == sizes[-1] and sizes[1] > 0.9 * sizes[0] and sizes[2] < sizes[1]
+        assert after.columns == df.columns, name
+        got = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in after.collect()]
+        want = f(want)
+        # Of rows with one id and source any may be the one that is taken.
+        assert Counter((g[0], g[1]) for g in got) == Counter((w[0], w[1]) for w in want), name
+        want, docs = got, after
+    tok = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    order = lambda x: (x[1], x[2])
+    tokens = sorted(plain_tokens([(w[0], w[1]) for w in want], tok), key=order)
+    got = sorted(map(tuple, cp.STAGES[-1][1](spark, docs, sf).collect()), key=order)
+    assert [g[0] for g in got] == [t[0] for t in tokens] and Counter((g[0], *g[2:]) for g in got) == Counter((t[0], *t[2:]) for t in tokens)
+    assert sorted((r.doc_id or -1, r.n_tokens, r.ids_crc32) for r in cp.run(spark, sf).collect()) == sorted((t[0] or -1, *t[2:]) for t in tokens)
+
+
+def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
+    import corpus_pipeline as cp
+
+    docs = empty.select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/none")
+    docs = spark.read.parquet(f"{tmp_path}/none")
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs, SF).count() == 0
 
 
 def test_pipeline_stages_go_by_row(spark, nasty):
