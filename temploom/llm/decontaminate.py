@@ -7,7 +7,7 @@ benchmark's windows, and overlapping hits unite to spans. An item of fewer than
 length; fingerprints of those lengths (at most window - 1 of them, read from the benchmark) are made as well.
 
 Up to ``in_plan`` fingerprints of the benchmark are part of the plan as a set of constants, and documents are filtered by them inside
-their own rows. More are joined by a shuffle of (row key, fingerprint) alone, and what joins goes back to its documents by the row key;
+their own rows, first by their k-grams and then by their windows' minima. More are joined by a shuffle of (row key, fingerprint) alone, and what joins goes back to its documents by the row key;
 in both cases windows are cut only for fingerprints that the benchmark has. The benchmark's windows are broadcast while they take at
 most ``broadcast_bytes``, measured; else that join shuffles too.
 
@@ -38,8 +38,11 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(f"({ITEM_WORD})"), F.lit(1)), F.array().cast("array<string>"))
 
 
-def window_minima(w: Column, length: int, k: int) -> Column:
-    """Fingerprint of each window of ``length`` words, in order; empty for shorter texts."""
+def window_minima(w: Column, length: int, k: int, known: list[int] | None = None) -> Column:
+    """Fingerprint of each window of ``length`` words, in order; empty for shorter texts.
+
+    With known, also empty if no k-gram's hash is among those: then no window's minimum is.
+    """
     k = min(k, length)
     span = length - k + 1
     n = F.size(w)
@@ -50,7 +53,12 @@ def window_minima(w: Column, length: int, k: int) -> Column:
     grams = F.transform(seq(n - (k - 1)), lambda i: F.xxhash64(F.slice(w, i, k)))
     if span == 1:
         return grams
-    return _let(grams, lambda h: F.transform(seq(n - (length - 1)), lambda i: F.array_min(F.slice(h, i, span))))
+
+    def minima(h: Column) -> Column:
+        every = F.transform(seq(n - (length - 1)), lambda i: F.array_min(F.slice(h, i, span)))
+        return every if known is None else F.when(F.exists(h, lambda x: x.isin(known)), every).otherwise(F.array().cast("array<bigint>"))
+
+    return _let(grams, minima)
 
 
 def _windows(w: Column, minima: Column, fp: Column, length: int) -> Column:
@@ -89,25 +97,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     side = F.broadcast if takes <= broadcast_bytes else lambda x: x
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.coalesce(F.length("text"), F.lit(-1)).alias("_l"), words(F.col("text")).alias("w"))
-    minima = F.array(*[F.struct(F.lit(n).alias("length"), window_minima(F.col("w"), n, k).alias("m")) for n in lengths]) if lengths else F.array().cast("array<struct<length:int,m:array<bigint>>>")
+    known: dict[int, list[int]] = {}
+    for r in few if small else []:
+        known.setdefault(r.length, []).append(r.fp)
+    minima = F.array(*[F.struct(F.lit(n).alias("length"), window_minima(F.col("w"), n, k, known.get(n, []) if small else None).alias("m")) for n in lengths]) if lengths else F.array().cast("array<struct<length:int,m:array<bigint>>>")
     rows = rows.withColumn("mins", minima)
-    def entries(known: dict[int, list[int]] | None) -> Column:
-        """Distinct (length, fp) of the row, of those known."""
+    def entries() -> Column:
+        """Distinct (length, fp) of the row, of those known if they are in the plan."""
         parts = []
         for i, n in enumerate(lengths):
             m = F.array_distinct(F.get(F.col("mins"), F.lit(i))["m"])
-            m = m if known is None else F.filter(m, lambda fp: fp.isin(known.get(n, [])))  # noqa: B023
+            m = F.filter(m, lambda fp: fp.isin(known.get(n, []))) if small else m  # noqa: B023
             parts.append(F.transform(m, lambda fp: F.struct(F.lit(n).alias("length"), fp.alias("fp"))))  # noqa: B023
         return F.concat(*parts) if parts else F.array().cast("array<struct<length:int,fp:bigint>>")
 
     same = ["doc_id", "_h", "_l"]
     if small:
-        known: dict[int, list[int]] = {}
-        for r in few:
-            known.setdefault(r.length, []).append(r.fp)
-        rows = rows.withColumn("_p", entries(known))
+        rows = rows.withColumn("_p", entries())
     else:
-        met = rows.select(*same, F.explode(entries(None)).alias("p")).select(*same, "p.length", "p.fp").join(prints, ["length", "fp"], "left_semi")
+        met = rows.select(*same, F.explode(entries()).alias("p")).select(*same, "p.length", "p.fp").join(prints, ["length", "fp"], "left_semi")
         met = met.groupBy(*[F.col(c).alias(f"_{c}") for c in same]).agg(F.collect_set(F.struct("length", "fp")).alias("_p"))
         rows = rows.join(met, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_h") == F.col("__h")) & (F.col("_l") == F.col("__l")), "left")
         rows = rows.withColumn("_p", F.coalesce("_p", F.array().cast("array<struct<length:int,fp:bigint>>")))
