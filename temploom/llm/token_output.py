@@ -7,8 +7,8 @@ copies. A second file of the shard lists its documents (doc_id, start inside the
 the corpus, their number follows the input's size, so ids of all shards in order are the corpus.
 
 Texts are encoded whole by the tokenizers library. Where the tokenizer's file has just the rules that BY_WORD lists, under which a text's
-ids are those of its pieces between white space, each distinct piece goes through the library once and is remembered; of each slice
-of documents one text is also encoded whole and compared. Any other tokenizer encodes every text as one.
+ids are those of its pieces between white space, each distinct piece of a slice of documents goes through the library once; of each slice
+one text is also encoded whole and compared. Any other tokenizer encodes every text as one.
 
 A task writes under a name of its own and renames at the end, and what it writes depends on its rows only: a task that runs again
 replaces equal files. Nulls: a null text is empty (its one id is the end id); null doc_ids come first. Repeated doc_ids are ordered by
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +34,12 @@ from pyspark.sql import functions as F
 from temploom.llm.common import parts_for, work_dir
 
 BATCH_SEQS = 256
-CACHE = 400_000
+SLICE = 16_000_000  # bytes of text encoded together
 SHARD_BYTES = 256_000_000  # of input files
-#: Letters that stay one pre-token of letters in lower case and in NFC, then ASCII punctuation but for the signs that contractions and
-#: special tokens use: two pre-tokens. The letter left out of the range, U+0130, gets a combining mark in lower case.
-_CORE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!\"#$%&()*+,\\-./:;=?@\\[\\\\\\]^_`{}~]+)")
+#: Letters that are one pre-token and stay so, and in NFC, in lower case. The one left out of the range, U+0130, gets a combining mark.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
+#: ASCII punctuation that after letters is a pre-token of its own: all but the signs that contractions and special tokens use.
+_PUNCT = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Rules under which no pre-token spans white space and nothing depends on what is beyond it.
 BY_WORD = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -56,74 +58,96 @@ def by_word(rules: dict) -> bool:
 
 
 class Encoder:
-    """``Tokenizer.encode`` without special tokens, by remembered pieces where the tokenizer's rules allow it.
+    """``Tokenizer.encode`` without special tokens, by distinct pieces where the tokenizer's rules allow it.
 
-    Texts are then cut at space, tab and line ends, which the pre-tokenizer drops anyway, and pieces of _CORE's form once more.
+    Texts are then cut at ASCII white space, which the pre-tokenizer drops anyway, and letters from punctuation after them.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.by_word = by_word(json.load(f))
         self.kind = "<u2" if max(self.tok.get_vocab_size(with_added_tokens=True), end_id + 1) <= 65_536 else "<u4"
         self.end = np.array([end_id], self.kind).tobytes()
-        self.words: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.plain = Tokenizer(self.tok.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.tok.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
 
     @staticmethod
     def of(path: str, end_id: int) -> Encoder:
-        """This Python worker's encoder: what it has learned serves the tasks that follow."""
+        """This Python worker's encoder."""
         if (path, end_id) not in _encoders:
             _encoders[path, end_id] = Encoder(path, end_id)
         return _encoders[path, end_id]
 
-    @staticmethod
-    def _parts(word: str) -> tuple[str, ...]:
-        m = _CORE.fullmatch(word)
-        a, b = m.groups() if m else (word, "")
-        if a.isascii() and a.isalpha():
-            a = a.lower()
-        return (a, b) if b else (a,)
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) > CACHE:
-            self.words = {"": b""}
-        if len(self.pieces) > 2 * CACHE:
-            self.pieces = {}
-        parts = {w: self._parts(w) for w in words if w not in self.words}
-        new = list({p for x in parts.values() for p in x if p not in self.pieces})
-        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-            self.pieces[p] = np.array(e.ids, self.kind).tobytes()
-        for w, x in parts.items():
-            self.words[w] = b"".join([self.pieces[p] for p in x])
-
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes() + self.end
 
-    def encode(self, words: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.words.__getitem__, words)) + self.end
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.words.__getitem__, words)) + self.end
-
-    def texts(self, texts: list[str]) -> list[bytes]:
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of all pieces in a row, where each piece begins and how many it has.
+
+        Pieces of lower-case letters are one pre-token each and need neither normalization nor the splitting rules, only the byte alphabet
+        and the merges: many are encoded as one text and told apart by the ends of words.
+        """
+        plain = np.asarray(pc.match_substring_regex(pieces, rf"\A{_LETTERS}\z")) & np.asarray(pc.equal(pieces, pc.utf8_lower(pieces)))
+        size, order, ids = np.zeros(len(pieces), np.int64), [], []
+        places = np.flatnonzero(plain)
+        rest = [np.flatnonzero(~plain)]
+        for i in range(0, len(places), 1000):
+            at = places[i : i + 1000]
+            e = np.array(self.plain.encode(" ".join(pieces.take(pa.array(at)).to_pylist()), add_special_tokens=False).ids, self.kind)
+            cut = np.flatnonzero(self.ends[e]) + 1
+            if len(cut) != len(at) or cut[-1] != len(e):
+                rest.append(at)
+                continue
+            size[at] = np.diff(cut, prepend=0)
+            order.append(at)
+            ids.append(e)
+        at = np.concatenate(rest)
+        each = [np.array(e.ids, self.kind) for e in self.tok.encode_batch_fast(pieces.take(pa.array(at)).to_pylist(), add_special_tokens=False)]
+        size[at] = [len(x) for x in each]
+        order.append(at)
+        ids += each
+        start, order_ = np.zeros(len(pieces), np.int64), np.concatenate(order)
+        start[order_] = np.cumsum(size[order_]) - size[order_]
+        return (np.concatenate(ids) if ids else np.zeros(0, self.kind)), start, size
+
+    def texts(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text and the end id."""
         if not self.by_word:
-            return [self.whole(t) for t in texts]
-        cut = [self.cut(t) for t in texts]
-        self.learn(set().union(*cut))
-        out = [self.encode(w) for w in cut]
-        if texts and out[0] != self.whole(texts[0]):
-            raise RuntimeError("a text has other ids by its pieces than as a whole")
-        return out
+            yield from map(self.whole, (t or "" for t in texts.to_pylist()))
+            return
+        if not len(texts):
+            return
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        edge = np.asarray(cut.offsets).astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        words, word = coded.dictionary, np.asarray(coded.indices)
+        edge -= edge[0]
+        stem = pc.ascii_rtrim(words, characters=_PUNCT)
+        letters = pc.match_substring_regex(stem, rf"\A{_LETTERS}\z")
+        tail = pc.struct_field(pc.extract_regex(words, rf"(?P<t>[{re.escape(_PUNCT)}]*)\z"), "t")
+        a = pc.if_else(letters, pc.utf8_lower(stem), words).dictionary_encode()
+        b = pc.if_else(letters, tail, "").dictionary_encode()
+        ids, start, size = self._pieces(pa.concat_arrays([a.dictionary, b.dictionary]))
+        two = np.stack([np.asarray(a.indices), np.asarray(b.indices) + len(a.dictionary)], 1)
+        for i in range(0, len(texts), 200):
+            mine = edge[i : i + 201]
+            seg = two[word[mine[0] : mine[-1]]].ravel()
+            n = size[seg]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            flat = ids[np.repeat(start[seg] - upto[:-1], n) + np.arange(upto[-1])]
+            ends = upto[2 * (mine - mine[0])].tolist()
+            for k, (x, y) in enumerate(zip(ends, ends[1:])):
+                out = flat[x:y].tobytes() + self.end
+                if not i + k and out != self.whole(texts[0].as_py() or ""):
+                    raise RuntimeError("a text has other ids by its pieces than as a whole")
+                yield out
 
 
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -189,6 +213,16 @@ class _Shard:
             self.fs.move(a, b)
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows in order, SLICE bytes of text at a time unless a single text is longer."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < b.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, side="right")))
+        yield b.slice(at, end - at)
+        at = end
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, seq_len: int = 2048, shards: int | None = None) -> DataFrame:
     """Write the corpus below path; returns the manifest (shard, n_docs, n_tokens, offset), which is also ``_manifest.json`` there.
 
@@ -208,11 +242,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, se
 
         shard, enc, out = TaskContext.get().partitionId(), None, None
         for b in batches:
-            for part in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
+            for part in _slices(b):
                 if out is None:
                     enc = Encoder.of(tokenizer, end_id)
                     out = _Shard(path, f"{shard:06d}", enc.kind, seq_len)
-                for i, ids in zip(part.column("doc_id").to_pylist(), enc.texts([x or "" for x in part.column("text").to_pylist()])):
+                for i, ids in zip(part.column("doc_id").to_pylist(), enc.texts(part.column("text"))):
                     out.add(i, ids)
         if out is not None:
             out.close()

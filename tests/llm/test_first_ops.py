@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,7 +193,8 @@ def test_encoder_equals_whole_texts(name):
     for k in range(0, len(texts), 500):
         part = texts[k : k + 500]
         want = [np.array(e.ids + [2], enc.kind).tobytes() for e in tok.encode_batch(part, add_special_tokens=False)]
-        assert enc.texts(part) == want
+        assert list(enc.texts(pa.array(part))) == want
+    assert list(enc.texts(pa.array([None, '', ' ' if enc.by_word else ''], pa.string()))) == [enc.end] * 3
 
 
 def repeats_brute(rows, n=35):
