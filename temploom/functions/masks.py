@@ -5,7 +5,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from temploom.errors import InvalidConfig, RegexCompileError
@@ -60,10 +60,14 @@ def java_replacement(placeholder: str, pattern: str) -> str:
 
 @dataclass(frozen=True)
 class Mask:
-    """A regular expression and the placeholder that replaces each of its matches."""
+    """A regular expression and the placeholder that replaces each of its matches.
+
+    needs: a literal that every match contains; a text without it isn't searched.
+    """
 
     pattern: str
     placeholder: str
+    needs: str | None = None
 
     def apply(self, col: Column) -> Column:
         return F.regexp_replace(col, F.lit(java_pattern(self.pattern)), F.lit(java_replacement(self.placeholder, self.pattern)))
@@ -81,11 +85,11 @@ class Mask:
 
 _HEX = "[0-9a-fA-F]"
 BUILTIN_MASKS: dict[str, Mask] = {
-    "uuid": Mask(rf"\b{_HEX}{{8}}(?:-{_HEX}{{4}}){{3}}-{_HEX}{{12}}\b", "<uuid>"),
+    "uuid": Mask(rf"\b{_HEX}{{8}}(?:-{_HEX}{{4}}){{3}}-{_HEX}{{12}}\b", "<uuid>", "-"),
     "hex32": Mask(rf"\b{_HEX}{{32}}\b", "<hex32>"),
-    "email": Mask(r"\b[\w.%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b".replace(r"\w", "A-Za-z0-9_"), "<email>"),
-    "ipv4": Mask(r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "<ipv4>"),
-    "jwt": Mask(r"\beyJ[\w-]+\.[\w-]+\.[\w-]+\b".replace(r"\w", "A-Za-z0-9_"), "<jwt>"),
+    "email": Mask(r"\b[A-Za-z0-9_.%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "<email>", "@"),
+    "ipv4": Mask(r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "<ipv4>", "."),
+    "jwt": Mask(r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", "<jwt>", "eyJ"),
 }
 
 
@@ -97,5 +101,13 @@ def parse_mask_list(spec: str) -> tuple[Mask, ...]:
     return tuple(BUILTIN_MASKS[x] for x in names)
 
 
+def with_masks(df: DataFrame, name: str, masks: tuple[Mask, ...]) -> DataFrame:
+    """Column ``name`` masked, mask by mask, so that each is tried only on texts that hold what it needs."""
+    for m in masks:
+        done = m.apply(F.col(name))
+        df = df.withColumn(name, done if m.needs is None else F.when(F.contains(F.col(name), F.lit(m.needs)), done).otherwise(F.col(name)))
+    return df
+
+
 def apply_masks(col: Column, masks: tuple[Mask, ...]) -> Column:
     return reduce(lambda c, m: m.apply(c), masks, col)

@@ -1,10 +1,12 @@
 """The preprocessing projection that learning and classification share: mask, first line, tokens, leaf key."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from temploom.functions.masks import apply_masks
+from temploom.functions.masks import with_masks
 from temploom.operators.options import MinerOptions
 
 TOKEN = "struct<text:string,lead:string,trail:string>"
@@ -56,7 +58,8 @@ def tokenize(col: Column, delims: str = "") -> Column:
     pieces = whitespace_pieces(col)
     if not delims:
         return F.transform(pieces, _plain)
-    return F.flatten(F.transform(pieces, lambda p: path_tokens(p, delims)))
+    has = lambda p: reduce(lambda a, b: a | b, [F.contains(p, F.lit(x)) for x in delims])
+    return F.flatten(F.transform(pieces, lambda p: F.when(has(p), path_tokens(p, delims)).otherwise(F.array(_plain(p)))))
 
 
 def is_numeric(t: Column) -> Column:
@@ -72,8 +75,7 @@ def leaf_keys(texts: Column, opts: MinerOptions) -> Column:
 
 def with_tokens(df: DataFrame, opts: MinerOptions, record: str = "record") -> DataFrame:
     """Add masked, suffix, tokens, n_tokens and leaf_keys. A null record is taken as an empty one."""
-    masked = apply_masks(F.coalesce(F.col(record), F.lit("")), opts.masks)
-    df = df.withColumn("masked", masked)
+    df = with_masks(df.withColumn("masked", F.coalesce(F.col(record), F.lit(""))), "masked", opts.masks)
     if opts.first_line_only:
         df = df.withColumn("suffix", suffix(F.col("masked")))
         text = first_line(F.col("masked"))

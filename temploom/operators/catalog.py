@@ -32,6 +32,15 @@ def cluster_by_id(catalog: DataFrame, cluster_id: int) -> DataFrame:
     return catalog.filter(F.col("id") == cluster_id)
 
 
+def size_of(catalog: DataFrame) -> int:
+    """Number of templates."""
+    return catalog.count()
+
+
+def is_empty(catalog: DataFrame) -> bool:
+    return catalog.isEmpty()
+
+
 def compression(catalog: DataFrame) -> DataFrame:
     return catalog.agg(F.count(F.lit(1)).alias("templates"), F.coalesce(F.sum("size"), F.lit(0)).alias("lines"), (F.sum("size") / F.count(F.lit(1))).alias("ratio"))
 

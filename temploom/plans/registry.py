@@ -383,6 +383,12 @@ def sort_rate(s, d):
     return _placed(cat.ordered(mine(_observed(s, d), ZERO).catalog, "rate").select("id", F.col("lines_per_minute").alias("rate")))
 
 
+@query(f"with {_Z0} select count(*) templates, count(*) = 0 empty, true none_is_empty from r")
+def catalog_size(s, d):
+    c = _doc_catalog(s, d)
+    return s.createDataFrame([(cat.size_of(c), cat.is_empty(c), cat.is_empty(c.filter("false")))], "templates long, empty boolean, none_is_empty boolean")
+
+
 @query(f"with {_Z0} select id, template, size from r where id = 3")
 def cluster_by_id(s, d):
     return cat.cluster_by_id(_doc_catalog(s, d), 3).select("id", "template", "size")
