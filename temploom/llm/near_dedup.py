@@ -370,7 +370,9 @@ def _member_sets(docs: DataFrame, members: str) -> DataFrame:
 
         fs, root = _fs(f"{members}/pid={_pid()}")
         if fs.get_file_info(root).type.name == "NotFound":
-            return
+            if fs.get_file_info(f"{_fs(members)[1]}/_SUCCESS").type.name == "NotFound":
+                raise RuntimeError(f"{members} isn't there or isn't whole")
+            return  # no member in this partition
         mine = {r["idx"]: r for r in ds.dataset(root, filesystem=fs, format="parquet").to_table().to_pylist()}
         at = 0
         for b in batches:

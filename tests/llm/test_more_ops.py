@@ -166,6 +166,60 @@ def test_near_classes_of_the_documents(spark):
     assert sorted(((x.doc_id, x.class_id) for x in nd.near_classes(docs).collect()), key=str) == classes_brute(rows)
 
 
+@pytest.mark.parametrize("block", [8192, 40])
+def test_recall_over_the_documents(spark, monkeypatch, block):
+    """With two levels of strips, and with long lists and groups that go by leaders: links of all pairs at the bound, and no others."""
+    monkeypatch.setattr(nd, "LIST", 50)
+    monkeypatch.setattr(nd, "BLOCK", block)
+    monkeypatch.setattr(nd, "VERIFY_BLOCK", 3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    sets = [frozenset(nd.shingles(t).tolist()) for _, t in rows]
+    post = defaultdict(set)
+    for k, s in enumerate(sets):
+        for h in s:
+            post[h].add(k)
+    pairs = {(a, b) for v in post.values() for a in v for b in v if a < b}
+    true = [(a, b) for a, b in pairs if (n := len(sets[a] & sets[b])) >= 0.8 * len(sets[a] | sets[b]) and n]
+    assert nd.plan(len(set(sets)), 0.98, 0.8)[0] == 2 and len(true) > 60
+    got = {x.doc_id: x.class_id for x in nd.near_classes(docs).collect()}
+    assert sum(got[rows[a][0]] == got[rows[b][0]] for a, b in true) >= 0.97 * len(true)
+    exact = dict(classes_brute(rows))
+    assert len({(got[i], exact[i]) for i in exact}) == len(set(got.values()))  # every class lies inside one true class
+
+
+def dense_group(n, seed):
+    """n fingerprints around one, few bits off, and others far off."""
+    rng = np.random.default_rng(seed)
+    bits = np.repeat(rng.integers(0, 2, (1, 128)), n, 0)
+    flip = rng.random((n, 128)) < 0.05
+    far = rng.integers(0, 2, (n // 10, 128))
+    words = np.packbits(np.concatenate([bits ^ flip, far]).astype(np.uint8), axis=1).view("<i8")
+    return [(k, int(a), int(b)) for k, (a, b) in enumerate(words)]
+
+
+def test_dense_lists_go_by_leaders(spark, monkeypatch):
+    monkeypatch.setattr(nd, "LIST", 100)
+    monkeypatch.setattr(nd, "BLOCK", 60)
+    rows = dense_group(1500, 4)
+    base = f"{spark.conf.get('spark.checkpoint.dir')}/dense"
+    spark.createDataFrame(rows, "rid long, a long, b long").repartition(3).write.parquet(f"{base}/reps")
+    edges = [(r.x, r.y) for r in nd.candidates(spark.read.parquet(f"{base}/reps"), len(rows), 0.98, 0.8, base).collect()]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x, y in edges:
+        up[find(x)] = find(y)
+    f = np.array([(a, b) for _, a, b in rows], np.int64).view(np.uint64)
+    d = np.bitwise_count(f[:, None, 0] ^ f[None, :, 0]) + np.bitwise_count(f[:, None, 1] ^ f[None, :, 1])
+    assert len({find(k) for k in range(1500)}) == 1
+    assert all(d[x, y] <= 2 * nd.radius(0.98, 0.8) + 40 for x, y in edges) and all(find(k) == k for k in range(1500, len(rows)) if (d[k] <= nd.radius(0.98, 0.8)).sum() == 1)
+
+
 def test_candidates_keep_the_promised_recall(spark, monkeypatch):
     monkeypatch.setattr(nd, "LIST", 20)
     rng, rows, n = np.random.default_rng(3), [], 3000
