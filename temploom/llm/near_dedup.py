@@ -390,7 +390,7 @@ def _member_sets(docs: DataFrame, members: str) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "rid long, root long, a long, b long, set binary")
 
 
-def near_classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.98, carry: tuple[str, ...] = ()) -> DataFrame:
+def near_classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.99, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, class_id (the least doc_id of its class), class_size, kept (one row of each class), carry (as strings)."""
     spark: SparkSession = docs.sparkSession
     path = work_dir(spark)
