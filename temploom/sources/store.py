@@ -27,11 +27,15 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise StoreError("spark.checkpoint.dir names no folder that all executors share")
         base = tempfile.mkdtemp(prefix="temploom-")
-    if "://" not in base:  # the session's default file system, for readers that don't know it
-        path = spark._jvm.org.apache.hadoop.fs.Path(base)
-        base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-        base = re.sub("^file:/+", "file:///", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{qualified(spark, base).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its scheme, that of the session's default file system where it has none, for readers that don't know that."""
+    if "://" in path:
+        return path
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return re.sub("^file:/+", "file:///", p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString())
 
 
 class CatalogStore(Protocol):
