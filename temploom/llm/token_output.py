@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from temploom.llm.common import parts_for, work_dir
+from temploom.sources.store import qualified
 
 BATCH_SEQS = 256
 SLICE = 16_000_000  # bytes of text encoded together
@@ -232,6 +233,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, se
     if seq_len % 8:
         raise ValueError("seq_len must be a multiple of 8, for masks to begin at whole bytes")
     spark = docs.sparkSession
+    path = qualified(spark, path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shards = shards or parts_for(rows, SHARD_BYTES)
     rows = rows.withColumn("_h", F.xxhash64("text")).withColumn("_from", F.spark_partition_id())
@@ -309,6 +311,7 @@ class ShardReader:
 
 def read_documents(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """Per document from the files: doc_id, start in the corpus, n_tokens, crc32 of its ids as little-endian unsigned 32-bit integers."""
+    path = qualified(spark, path)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
