@@ -13,7 +13,7 @@ Lists of fingerprints that lie close together can't be parted by strips, nor nee
 list are compared with all; the rows within reach of the largest group of leaders are one group thereby, and only the rest is
 compared with the whole list, block by block. The result is the same as that of all pairs, the work in proportion to the list.
 
-Candidates (fingerprints within ``radius`` bits) only form provisional groups; of a list a spanning forest is passed on, not its pairs. Inside a
+Candidates (fingerprints within ``radius`` bits of texts whose numbers of shingles the bound allows) only form provisional groups; of a list a spanning forest is passed on, not its pairs. Inside a
 provisional group every close pair that isn't linked yet is verified on the shingle sets (Jaccard of at least ``similarity``), so no link
 is lost to the forest, and verified links alone make the classes; groups longer than a block go by leaders, as lists do. Connected
 components are found by alternating star operations on tables in the shared folder; nothing but counts comes to the driver.
@@ -143,7 +143,7 @@ def plan(n: int, recall: float, similarity: float) -> tuple[int, int]:
 
 
 def _spread(rows: DataFrame, recall: float, similarity: float, seed: int) -> DataFrame:
-    """bucket, m, rid, a, b: rows in the lists that their list of m rows is parted into, with m as it was."""
+    """bucket, m, rid, a, b, n: rows in the lists that their list of m rows is parted into, with m as it was."""
     table, weights = _decode_table(), 1 << np.arange(6, -1, -1)
     sizes = {1 << k: plan(1 << k, recall, similarity) for k in range(44)}
     plans: dict[int, list] = {}
@@ -158,7 +158,7 @@ def _spread(rows: DataFrame, recall: float, similarity: float, seed: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            was, m, rid, a, b = (np.array(batch.column(batch.schema.get_field_index(x)), np.int64) for x in ("bucket", "m", "rid", "a", "b"))
+            was, m, rid, a, b, n_ = (np.array(batch.column(batch.schema.get_field_index(x)), np.int64) for x in ("bucket", "m", "rid", "a", "b", "n"))
             bits = np.unpackbits(np.stack([a, b], 1).view(np.uint8), axis=1).reshape(len(rid), 128)
             size = 1 << np.ceil(np.log2(np.maximum(m, 1))).astype(np.int64)
             for n in np.unique(size):
@@ -168,17 +168,17 @@ def _spread(rows: DataFrame, recall: float, similarity: float, seed: int) -> Dat
                     for level in range(len(coords)):
                         code = code * np.uint64(16) + table[(bits[at][:, coords[level]] @ weights) ^ shift[level]].astype(np.uint64)
                     bucket = _mix(was[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + code).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, m[at], rid[at], a[at], b[at])], names=["bucket", "m", "rid", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, m[at], rid[at], a[at], b[at], n_[at].astype(np.int32))], names=["bucket", "m", "rid", "a", "b", "n"])
 
-    return rows.select("bucket", "m", "rid", "a", "b").mapInArrow(run, "bucket long, m long, rid long, a long, b long")
+    return rows.select("bucket", "m", "rid", "a", "b", "n").mapInArrow(run, "bucket long, m long, rid long, a long, b long, n int")
 
 
 def candidates(reps: DataFrame, n: int, recall: float, similarity: float, path: str, seed: int = 11) -> DataFrame:
-    """Edges x < y between representatives (rid, a, b) whose fingerprints are within the radius: a forest of each list."""
+    """Edges x < y between representatives (rid, a, b, n) that may be similar by fingerprints and sizes: a forest of each list."""
     most, found = radius(recall, similarity), []
-    rows = _spread(reps.select(F.lit(0).cast("long").alias("bucket"), F.lit(n).cast("long").alias("m"), "rid", "a", "b"), recall, similarity, seed)
+    rows = _spread(reps.select(F.lit(0).cast("long").alias("bucket"), F.lit(n).cast("long").alias("m"), "rid", "a", "b", "n"), recall, similarity, seed)
     for k in range(ROUNDS):
-        edges, rest = _linked(rows, "bucket", BLOCK, _Links(most), f"{path}/lists{k}", part=k < ROUNDS - 1)
+        edges, rest = _linked(rows, "bucket", BLOCK, _Links(most, similarity), f"{path}/lists{k}", part=k < ROUNDS - 1)
         found.append(edges)
         if rest is None:
             break
@@ -191,35 +191,32 @@ def candidates(reps: DataFrame, n: int, recall: float, similarity: float, path:
 
 
 class _Links:
-    """Which rows of a group belong together: close fingerprints, with ``similarity`` also similar shingle sets."""
+    """Which rows of a group belong together: close fingerprints and sizes that the bound allows, with ``exact`` similar shingle sets too."""
 
-    columns = ("rid", "a", "b")
-
-    def __init__(self, most: int, similarity: float | None = None) -> None:
-        self.most, self.similarity = most, similarity
-        if similarity is not None:
-            self.columns = (*self.columns, "set")
+    def __init__(self, most: int, similarity: float, exact: bool = False) -> None:
+        self.most, self.similarity, self.exact = most, similarity, exact
+        self.columns = ("rid", "a", "b", "n", *["set"] * exact)
 
     def _load(self, t: pa.Table) -> tuple:
         rid = np.array(t["rid"], np.int64)
         order = np.argsort(rid, kind="stable")
         f = np.stack([np.array(t["a"], np.int64)[order], np.array(t["b"], np.int64)[order]], 1).view(np.uint64)
         sets = None
-        if self.similarity is not None:
+        self.size = np.array(t["n"], np.int64)[order]
+        if self.exact:
             raw = t["set"]
             sets = [np.frombuffer(raw[int(k)].as_py(), np.uint32) for k in order]
         return order, rid[order], f, sets
 
     def _join(self, label: np.ndarray, f: np.ndarray, sets: list | None, left: np.ndarray, right: np.ndarray) -> None:
         """Unite the labels of linked rows of left and right (places, ascending)."""
-        size = None if sets is None else np.array([len(s) for s in sets])
         step = 512 if sets is None else 256
         same = left is right
         for i in range(0, len(left), step):
             p = left[i : i + step]
             for j in range(i if same else 0, len(right), step):
                 q = right[j : j + step]
-                x, y = _close(f, p, q, self.most)
+                x, y = self._near(f, p, q)
                 ok = (x != y) & (label[x] != label[y])
                 x, y = x[ok], y[ok]
                 if sets is None:
@@ -229,11 +226,15 @@ class _Links:
                         ok = label[x] != label[y]
                         x, y = x[ok], y[ok]
                     continue
-                ok = np.minimum(size[x], size[y]) >= self.similarity * np.maximum(size[x], size[y])
-                for u, v in zip(x[ok], y[ok]):
+                for u, v in zip(x, y):
                     if label[u] != label[v] and self._similar(sets[u], sets[v]):
                         self._unite(label, u, v)
 
+    def _near(self, f: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, y = _close(f, p, q, self.most)
+        ok = np.minimum(self.size[x], self.size[y]) >= self.similarity * np.maximum(self.size[x], self.size[y])
+        return x[ok], y[ok]
+
     def _similar(self, a: np.ndarray, b: np.ndarray) -> bool:
         both = _common(a, b)
         return both >= self.similarity * (len(a) + len(b) - both)
@@ -270,7 +271,7 @@ class _Links:
         first = heads[label[heads] == root]
         mine = np.zeros(len(rid), bool)
         for i in range(0, len(rows), 512):
-            x, y = _close(f, rows[i : i + 512], first, self.most)
+            x, y = self._near(f, rows[i : i + 512], first)
             if sets is None:
                 mine[x] = True
             else:
@@ -361,7 +362,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 def _member_sets(docs: DataFrame, members: str) -> DataFrame:
     """rid, group, fingerprint and shingle set of the rows that the table (partitioned by pid) lists; only those leave a task."""
-    schema = pa.schema([("rid", pa.int64()), ("root", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("set", pa.binary())])
+    schema = pa.schema([("rid", pa.int64()), ("root", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("set", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.dataset as ds
@@ -382,12 +383,12 @@ def _member_sets(docs: DataFrame, members: str) -> DataFrame:
                     h = shingles(t.as_py())
                     if _digest(h) != r["digest"]:
                         raise RuntimeError("the documents came in another order than before; write them to a table first")
-                    rows.append((r["rid"], r["root"], r["a"], r["b"], np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes()))
+                    rows.append((r["rid"], r["root"], r["a"], r["b"], r["n"], np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes()))
             at += b.num_rows
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "rid long, root long, a long, b long, set binary")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "rid long, root long, a long, b long, n int, set binary")
 
 
 def near_classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.98, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -396,16 +397,16 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.98,
     path = work_dir(spark)
     rows = written(features(docs, carry), "features", path)
     group = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "pid", "idx")
-    reps = rows.filter("n > 0").groupBy("digest").agg(F.min(group).alias("first"), F.min("a").alias("a"), F.min("b").alias("b"), F.count(F.lit(1)).alias("copies"))
+    reps = rows.filter("n > 0").groupBy("digest").agg(F.min(group).alias("first"), F.min("a").alias("a"), F.min("b").alias("b"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     reps = reps.withColumn("rid", (F.col("first.pid").cast("long") * 2**32 + F.col("first.idx")))
     reps = written(reps, "reps", path)
     n = reps.count()
     loose = components(candidates(reps, n, recall, similarity, path), f"{path}/loose")
     members = loose.union(loose.select(F.col("root").alias("node"), "root").distinct())
-    members = members.join(reps, F.col("node") == F.col("rid")).select(F.col("first.pid").alias("pid"), F.col("first.idx").alias("idx"), "digest", "rid", "root", "a", "b")
+    members = members.join(reps, F.col("node") == F.col("rid")).select(F.col("first.pid").alias("pid"), F.col("first.idx").alias("idx"), "digest", "rid", "root", "a", "b", "n")
     members.repartition(parts_for(docs), "pid").write.partitionBy("pid").parquet(f"{path}/members")
     sets = written(_member_sets(docs, f"{path}/members"), "sets", path)
-    links, _ = _linked(sets, "root", VERIFY_BLOCK, _Links(radius(recall, similarity), similarity), f"{path}/verify")
+    links, _ = _linked(sets, "root", VERIFY_BLOCK, _Links(radius(recall, similarity), similarity, exact=True), f"{path}/verify")
     final = components(links, f"{path}/final")
     named = reps.join(final, F.col("rid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rid"))
     class_ = named.groupBy("root").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))

@@ -195,7 +195,7 @@ def dense_group(n, seed):
     flip = rng.random((n, 128)) < 0.05
     far = rng.integers(0, 2, (n // 10, 128))
     words = np.packbits(np.concatenate([bits ^ flip, far]).astype(np.uint8), axis=1).view("<i8")
-    return [(k, int(a), int(b)) for k, (a, b) in enumerate(words)]
+    return [(k, int(a), int(b), 9) for k, (a, b) in enumerate(words)]
 
 
 def test_dense_lists_go_by_leaders(spark, monkeypatch):
@@ -203,7 +203,7 @@ def test_dense_lists_go_by_leaders(spark, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK", 60)
     rows = dense_group(1500, 4)
     base = f"{spark.conf.get('spark.checkpoint.dir')}/dense"
-    spark.createDataFrame(rows, "rid long, a long, b long").repartition(3).write.parquet(f"{base}/reps")
+    spark.createDataFrame(rows, "rid long, a long, b long, n int").repartition(3).write.parquet(f"{base}/reps")
     edges = [(r.x, r.y) for r in nd.candidates(spark.read.parquet(f"{base}/reps"), len(rows), 0.98, 0.8, base).collect()]
     up = list(range(len(rows)))
 
@@ -214,7 +214,7 @@ def test_dense_lists_go_by_leaders(spark, monkeypatch):
 
     for x, y in edges:
         up[find(x)] = find(y)
-    f = np.array([(a, b) for _, a, b in rows], np.int64).view(np.uint64)
+    f = np.array([(a, b) for _, a, b, _ in rows], np.int64).view(np.uint64)
     d = np.bitwise_count(f[:, None, 0] ^ f[None, :, 0]) + np.bitwise_count(f[:, None, 1] ^ f[None, :, 1])
     assert len({find(k) for k in range(1500)}) == 1
     assert all(d[x, y] <= 2 * nd.radius(0.98, 0.8) + 40 for x, y in edges) and all(find(k) == k for k in range(1500, len(rows)) if (d[k] <= nd.radius(0.98, 0.8)).sum() == 1)
@@ -225,9 +225,9 @@ def test_candidates_keep_the_promised_recall(spark, monkeypatch):
     rng, rows, n = np.random.default_rng(3), [], 3000
     for i in range(n // 2):  # four shingles inside five: similarity 0.8 exactly
         h = rng.integers(0, 2**63, 5).astype(np.uint64)
-        rows += [(2 * i, *nd.fingerprint(np.sort(h))), (2 * i + 1, *nd.fingerprint(np.sort(h[:4])))]
+        rows += [(2 * i, *nd.fingerprint(np.sort(h)), 5), (2 * i + 1, *nd.fingerprint(np.sort(h[:4])), 4)]
     base = f"{spark.conf.get('spark.checkpoint.dir')}/recall"
-    spark.createDataFrame(rows, "rid long, a long, b long").write.parquet(f"{base}/reps")
+    spark.createDataFrame(rows, "rid long, a long, b long, n int").write.parquet(f"{base}/reps")
     assert nd.plan(n, 0.98, 0.8)[0] == 2
     edges = nd.candidates(spark.read.parquet(f"{base}/reps"), n, 0.98, 0.8, base)
     found = edges.filter("x % 2 = 0 and y = x + 1").count()
