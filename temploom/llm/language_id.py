@@ -17,7 +17,9 @@ count as rows of one document. Empty table: no rows. Extra columns may have any
 """
 from __future__ import annotations
 
+import itertools
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -96,37 +98,42 @@ class Crf:
     def marginals(self, pot: np.ndarray, word: np.ndarray, length: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Marginals of the words of sequences laid one after the other; with pairs, also the summed pair marginals.
 
-        Sequences go in step, longest first, so each step is one operation on all that are that long.
+        Sequences go in step, longest first, so each step is one operation on all that are that long; a step's words lie together.
         """
         k, t = pot.shape[1], np.exp(self.trans)
         order = np.argsort(-length, kind="stable")
-        start = (np.cumsum(length) - length)[order]
         size = length[order]
         active = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
+        upto = np.concatenate([[0], np.cumsum(active)])
+        rank = np.empty(len(length), np.int64)
+        rank[order] = np.arange(len(length))
+        place = upto[np.arange(len(word)) - np.repeat(np.cumsum(length) - length, length)] + np.repeat(rank, length)
+        p = np.empty((len(word), k))
+        p[place] = pot[word]
         a, b = np.empty((len(word), k)), np.empty((len(word), k))
+        upto, active = upto.tolist(), active.tolist()
         x = None
         for i, n in enumerate(active):
-            at = start[:n] + i
-            x = pot[word[at]] if x is None else (x[:n] @ t) * pot[word[at]]
+            at = slice(upto[i], upto[i + 1])
+            x = p[at] if x is None else (x[:n] @ t) * p[at]
             x = x / x.sum(1, keepdims=True)
             a[at] = x
         joint = np.zeros((k, k)) if pairs else None
         y = np.ones((0, k))
         for i in range(len(active) - 1, -1, -1):
-            n = active[i]
-            at = start[:n] + i
+            n, at = active[i], slice(upto[i], upto[i + 1])
             if len(y) < n:
                 y = np.concatenate([y, np.ones((n - len(y), k))])
             b[at] = y
             if i:
-                z = y * pot[word[at]]
+                z = y * p[at]
                 if pairs:
-                    j = a[at - 1][:, :, None] * t * z[:, None, :]
+                    j = a[upto[i - 1] : upto[i - 1] + n][:, :, None] * t * z[:, None, :]
                     joint += (j / j.sum((1, 2), keepdims=True)).sum(0)
                 y = z @ t.T
                 y = y / y.sum(1, keepdims=True)
         m = a * b
-        return m / m.sum(1, keepdims=True), joint
+        return (m / m.sum(1, keepdims=True))[place], joint
 
     def fit(self, sequences: list[tuple[list[str], list[int]]], rounds: int = 40, rate: float = 0.3, l2: float = 1e-4) -> "Crf":
         vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws, _ in sequences for w in ws))}
@@ -157,12 +164,12 @@ class Crf:
 
     def predict(self, docs: list[list[str]]) -> list[tuple[str, float, float]]:
         """(lang, score, certainty) of word lists, none of which is empty. certainty: mean of each word's greatest marginal."""
-        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
-        if not vocabulary:
+        if not docs:
             return []
-        pot = self.potentials(ngrams(list(vocabulary)), len(vocabulary))
-        word = np.fromiter((vocabulary[w] for d in docs for w in d), np.int64)
         length = np.array([len(d) for d in docs])
+        vocabulary: dict[str, int] = defaultdict(itertools.count().__next__)
+        word = np.fromiter(map(vocabulary.__getitem__, itertools.chain.from_iterable(docs)), np.int64, int(length.sum()))
+        pot = self.potentials(ngrams(list(vocabulary)), len(vocabulary))
         m, _ = self.marginals(pot, word, length)
         start = np.cumsum(length) - length
         mean = np.add.reduceat(m, start) / length[:, None]
@@ -230,6 +237,13 @@ def _slices(texts: pa.Array) -> Iterator[list[str | None]]:
         at = end
 
 
+def _by_size(texts: pa.Array) -> pa.Array:
+    """Places of the texts, shortest first: a slice takes as many steps as its longest text has words, so texts of like sizes go together."""
+    import pyarrow.compute as pc
+
+    return pa.array(np.argsort(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), kind="stable"), pa.int64())
+
+
 def predictor(spark: SparkSession, model: Crf | None) -> Callable[[Column], Column]:
     """A function from a text column to a struct (lang_pred, score, certainty)."""
     if model is not None:
@@ -240,11 +254,14 @@ def predictor(spark: SparkSession, model: Crf | None) -> Callable[[Column], Colu
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         crf = held.value
         for texts in batches:
+            order = _by_size(texts)
             out: list[tuple[str, float, float]] = []
-            for part in _slices(texts):
+            for part in _slices(texts.take(order)):
                 words = [words_of(t) if crf is not None else [] for t in part]
                 some = iter(crf.predict([w for w in words if w]) if crf is not None else [])
                 out += [next(some) if w else ("und", 0.0, 0.0) for w in words]
+            back = np.argsort(order.to_numpy())
+            out = [out[k] for k in back.tolist()]
             cols = list(zip(*out)) if out else [[], [], []]
             yield pa.StructArray.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], names=["lang_pred", "score", "certainty"])
 

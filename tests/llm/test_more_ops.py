@@ -277,6 +277,24 @@ def test_language_id(spark, nasty, empty):
     assert {r.lang_pred for r in li.identify(nasty, None).collect()} == {"und"}
 
 
+def test_language_slices_hold_texts_of_like_sizes(spark, monkeypatch):
+    """A slice costs a step for each word of its longest text, so long texts among short ones must not make every slice long."""
+    monkeypatch.setattr(li, "SLICE", 12_000)
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(("ab", "cd", "ef")) for _ in range(1000 if i % 100 == 1 else 20)) if i % 7 else rnd.choice((None, "", "1 2")) for i in range(1000)]
+    arr = pa.array(texts)
+    steps = lambda a: sum(max(len(li.words_of(t)) for t in part) for part in li._slices(a))
+    order = li._by_size(arr)
+    assert sorted(order.to_pylist()) == list(range(1000)) and 2 * steps(arr.take(order)) < steps(arr)
+    crf = li.Crf(["x", "y"], np.zeros(0, np.uint64))
+    crf.w = np.random.default_rng(1).normal(0, 0.3, crf.w.shape).astype(np.float32)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.lang_pred, r.certainty) for r in li.identify(df, crf).collect()}
+    for i, t in enumerate(texts):
+        want = crf.predict([w])[0] if (w := li.words_of(t)) else ("und", 0.0, 0.0)
+        assert got[i][0] == want[0] and abs(got[i][1] - want[2]) < 1e-9
+
+
 def test_language_sample_is_bounded(spark, monkeypatch):
     rows = [(2, f"das ist der text {k} von allen", "de") for k in range(300)] + [(3, "the text of it all", "en"), (5, "x " * 400, "en"), (9, "le texte de tout", "fr"), (9, "le texte", "en")] + [(10 + k, "die eine und die andere", "de") for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
