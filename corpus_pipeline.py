@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from temploom.llm import decontaminate, language_id, mixing, near_dedup, token_output
 from temploom.llm.common import work_dir
 
+PASSAGE = 8  # words
+
 
 def least_certainty(n_langs: int) -> float:
     """Certainty (mean of each word's greatest marginal) below which a document is of no learned language.
@@ -57,12 +59,17 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that aren't contaminated; null and empty texts never are, equal texts fare equally."""
+    """Rows without a passage of the benchmark; null and empty texts have none, equal texts fare equally.
+
+    A span of PASSAGE hit words is a passage however long its document is; shorter ones, which only items of so few words give, count
+    by the operator's share of the document, or an item of one common word would take the whole corpus.
+    """
     row = _free(docs, "_row")
     rows = _rows(docs, row)
     # The operator takes doc_id as a name only, so the row's key stands in for it.
     found = decontaminate.decontaminate(rows.select(F.col(row).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return rows.join(found.filter("contaminated").select(F.col("doc_id").alias(row)), row, "left_anti").select(*_columns(docs))
+    passage = F.exists("spans", lambda x: x["end"] - x["start"] >= PASSAGE)
+    return rows.join(found.filter(F.col("contaminated") | passage).select(F.col("doc_id").alias(row)), row, "left_anti").select(*_columns(docs))
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -618,6 +618,19 @@ def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
         assert stage(spark, docs, SF).count() == 0
 
 
+def test_pipeline_drops_passages_in_long_documents(spark, tmp_path):
+    """A passage goes whatever share of its document it is; an item of few words takes no long document that has them."""
+    import corpus_pipeline as cp
+
+    item, eight = " ".join(f"w{i}" for i in range(20)), "p q r s t u v x"
+    spark.createDataFrame([(1, item), (2, "the"), (3, eight)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long_ = " ".join(f"x{i}" for i in range(2000))
+    rows = [(1, f"{long_} {item} {long_}"), (2, f"{long_} " + " ".join(item.split()[3:16])), (3, long_), (4, f"{long_} the end"), (5, f"{eight} {long_}"), (6, f"{long_} " + " ".join(item.split()[:12])), (7, None), (8, "the end")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    got = cp.stage_decontaminate(spark, spark.read.parquet(f"{tmp_path}/docs"), str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == [3, 4, 6, 7]
+
+
 def test_pipeline_stages_go_by_row(spark, nasty):
     import corpus_pipeline as cp
 
