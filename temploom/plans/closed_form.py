@@ -1,24 +1,22 @@
-"""Exact catalogs without the fold at the two ends of the threshold: plain aggregations, no Python, skew-proof by partial aggregation."""
+"""Exact catalogs without the fold at the two ends of the threshold, skew-proof by partial aggregation."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from temploom.functions.tokens import with_tokens
+from temploom.operators.mine import fold_input
 from temploom.operators.options import MinerOptions
+from temploom.operators.zero import leaf_parts
 
 
 def catalog_threshold_zero(records: DataFrame, opts: MinerOptions) -> DataFrame:
     """sim_threshold 0: one template per leaf; a position is the wildcard where the leaf has more than one text.
 
-    Positions are compared by their minimum and maximum in one aggregation over exploded tokens, so a hot leaf never reaches one task
-    unaggregated.
+    Lines are merged where they lie and then by leaf: each is shuffled once at most, and a hot leaf never reaches one task unmerged.
     """
-    tok = with_tokens(records, opts).select("seq", "n_tokens", F.array_join("leaf_keys", " ").alias("leaf"), "suffix", "tokens.text")
-    pos = tok.select("n_tokens", "leaf", F.posexplode("text").alias("pos", "t")).groupBy("n_tokens", "leaf", "pos").agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    texts = pos.withColumn("t", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.lit(opts.wildcard))).groupBy("n_tokens", "leaf").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), " ").alias("template"))
-    leaf = tok.groupBy("n_tokens", "leaf").agg(F.count(F.lit(1)).alias("size"), F.min("seq").alias("first_seq"), F.min_by(F.struct("suffix"), "seq").alias("s"))
-    return leaf.join(texts, ["n_tokens", "leaf"], "left").select("n_tokens", "leaf", F.coalesce("template", F.lit("")).alias("template"), "size", "first_seq", F.col("s.suffix").alias("suffix"))
+    parts = leaf_parts(fold_input(with_tokens(records, opts), opts).withColumns({x: F.lit(None).cast(k) for x, k in (("member", "string"), ("event_ms", "long"), ("observed_ms", "long"))}), opts.wildcard)
+    return parts.select("n_tokens", "leaf", F.col("texts").alias("template"), "size", F.col("created_seq").alias("first_seq"), "suffix")
 
 
 def catalog_threshold_one(records: DataFrame, opts: MinerOptions) -> DataFrame:
