@@ -2,16 +2,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from temploom.functions.expr import per_minute, render_template
 from temploom.functions.tokens import leaf_keys, with_tokens
 from temploom.operators.fold import Cluster, LeafFold
+from temploom.operators.numbering import numbered
 from temploom.operators.options import MinerOptions
+from temploom.operators.zero import leaf_parts
 
 FOLD_SCHEMA = (
     "kind string, n_tokens int, leaf string, seq long, created_seq long, seed_id long, update string, texts string, lead string, trail string,"
@@ -102,14 +104,53 @@ def _token_structs() -> Column:
     return F.transform(F.arrays_zip(_split(F.col("texts"), n).alias("text"), part("lead").alias("lead"), part("trail").alias("trail")), lambda t: F.struct(t["text"].alias("text"), F.nullif(t["lead"], F.lit("")).alias("lead"), F.nullif(t["trail"], F.lit("")).alias("trail")))
 
 
-@dataclass
 class MineResult:
-    raw: DataFrame
-    assigned: DataFrame
-    catalog: DataFrame
+    """assigned and catalog are built when first asked for, each from what it needs."""
+
+    def __init__(self, rows: DataFrame, opts: MinerOptions, seeded: bool, counter: int, partitions: int | None, persist: bool) -> None:
+        self.rows, self.opts, self.seeded, self.counter, self.partitions, self.persist, self.held = rows, opts, seeded, counter, partitions, persist, []
+
+    def _hold(self, df: DataFrame) -> DataFrame:
+        if self.persist:
+            self.held.append(df.persist())
+        return df
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        """The fold's rows: A for a record, C for a template that is left."""
+        keys = ("n_tokens", "leaf")
+        rows = (self.rows.repartition(self.partitions, *keys) if self.partitions else self.rows.repartition(*keys)).sortWithinPartitions(*keys, "ord", "seq")
+        return self._hold(rows.mapInArrow(leaf_folder(self.opts.sim_threshold, self.opts.max_clusters_per_leaf, self.opts.wildcard), FOLD_SCHEMA))
+
+    def _id(self, df: DataFrame) -> DataFrame:
+        return numbered(df, [F.col("created_seq")], "new_id").withColumn("new_id", F.col("new_id") + self.counter)
+
+    @cached_property
+    def _ids(self) -> DataFrame:
+        return self._id(self.raw.filter("kind = 'A' and update = 'Created'").select(F.col("seq").alias("created_seq")))
+
+    def _with_id(self, df: DataFrame) -> DataFrame:
+        return df.join(self._ids, "created_seq", "left").withColumn("cluster_id", F.coalesce("seed_id", "new_id"))
+
+    @cached_property
+    def assigned(self) -> DataFrame:
+        return self._with_id(self.raw.filter("kind = 'A'").select("seq", "created_seq", "seed_id", "update", "n_tokens", "leaf")).select("seq", "cluster_id", "update", "n_tokens", "leaf")
+
+    @cached_property
+    def catalog(self) -> DataFrame:
+        if self.opts.sim_threshold == 0 and not self.seeded:
+            # A template for each leaf, whatever the order: no fold. Every creating record has its row.
+            cat = self._id(self._hold(leaf_parts(self.rows, self.opts.wildcard))).withColumn("cluster_id", F.col("new_id")).withColumn("leaf_pos", F.lit(0))
+        else:
+            cat = self._with_id(self.raw.filter("kind = 'C'").drop("seq"))
+        return cat.withColumn("tokens", _token_structs()).select(
+            F.col("cluster_id").alias("id"), render_template(F.col("tokens")).alias("template"), "tokens", "size", "created_ms", "updated_ms", "event_first_ms", "event_last_ms", "suffix", F.coalesce("members", F.array().cast("array<string>")).alias("members"), "n_tokens",
+            leaf_keys(F.col("tokens.text"), self.opts).alias("leaf_keys"), "leaf_pos", "last_used",
+        )
 
     def unpersist(self) -> None:
-        self.raw.unpersist()
+        for df in self.held:
+            df.unpersist()
 
 
 def mine(records: DataFrame, opts: MinerOptions = MinerOptions(), *, initial: DataFrame | None = None, counter: int = 0, partitions: int | None = None, persist: bool = True) -> MineResult:
@@ -117,26 +158,12 @@ def mine(records: DataFrame, opts: MinerOptions = MinerOptions(), *, initial: Da
 
     assigned: seq, cluster_id, update, n_tokens, leaf. catalog: one row per template that is left at the end. The result equals a
     single-threaded run in seq order: a record's leaf is a function of the record alone, so leaves are folded independently, each by
-    one task. Ids are ranks of creating records, evicted ones included, after ``counter``.
+    one task; at threshold 0 the catalog needs no fold. Ids are ranks of creating records, evicted ones included, after ``counter``.
     """
     rows = fold_input(with_tokens(records, opts), opts)
     if initial is not None:
         rows = rows.unionByName(seed_rows(initial, opts))
-    keys = ("n_tokens", "leaf")
-    rows = (rows.repartition(partitions, *keys) if partitions else rows.repartition(*keys)).sortWithinPartitions(*keys, "ord", "seq")
-    raw = rows.mapInArrow(leaf_folder(opts.sim_threshold, opts.max_clusters_per_leaf, opts.wildcard), FOLD_SCHEMA)
-    if persist:
-        raw = raw.persist()
-    created = raw.filter("kind = 'A' and update = 'Created'").select(F.col("seq").alias("created_seq"))
-    ids = created.select("created_seq", (F.row_number().over(Window.orderBy("created_seq")) + counter).cast("long").alias("new_id"))
-    with_id = lambda df: df.join(ids, "created_seq", "left").withColumn("cluster_id", F.coalesce("seed_id", "new_id"))
-    assigned = with_id(raw.filter("kind = 'A'").select("seq", "created_seq", "seed_id", "update", "n_tokens", "leaf")).select("seq", "cluster_id", "update", "n_tokens", "leaf")
-    cat = with_id(raw.filter("kind = 'C'").drop("seq")).withColumn("tokens", _token_structs())
-    catalog = cat.select(
-        F.col("cluster_id").alias("id"), render_template(F.col("tokens")).alias("template"), "tokens", "size", "created_ms", "updated_ms", "event_first_ms", "event_last_ms", "suffix", "members", "n_tokens",
-        leaf_keys(F.col("tokens.text"), opts).alias("leaf_keys"), "leaf_pos", "last_used",
-    )
-    return MineResult(raw, assigned, catalog)
+    return MineResult(rows, opts, initial is not None, counter, partitions, persist)
 
 
 def with_rates(catalog: DataFrame) -> DataFrame:

@@ -321,3 +321,67 @@ def test_registry_has_oracles():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_leaf_parts_equal_fold(spark, monkeypatch):
+    import random
+
+    from temploom.operators import zero
+    from temploom.operators.mine import MineResult, fold_input
+    from temploom.plans.closed_form import catalog_threshold_zero
+
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(["a", "b", "7", "c/d", "<*>"]) for _ in range(r.randint(0, 4))) + r.choice(["", "\nx", f"\n{i}"]), r.choice([None, r.randrange(99)]), r.choice([None, "u", "v", "w"]), r.choice([None, r.randrange(99)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "seq long, record string, event_ms long, member string, observed_ms long").repartition(3, F.hash("record", "seq"))
+    o = MinerOptions(sim_threshold=0.0, depth=3, first_line_only=True, path_delimiters="/")
+    monkeypatch.setattr(MineResult, "raw", property(lambda m: pytest.fail("no fold at threshold 0")))
+    got = mine(df, o).catalog.drop("n_tokens", "leaf_keys").orderBy("id").collect()
+    monkeypatch.undo()
+    slow = mine(df, o)
+    slow.seeded = True  # the fold's way
+    assert got == slow.catalog.drop("n_tokens", "leaf_keys").orderBy("id").collect()
+    parts = fold_input(tokens.with_tokens(df, o), o)
+    assert zero.leaf_parts(parts, "<*>").count() == len(got)
+    closed = catalog_threshold_zero(df, o)
+    assert "Generate" not in closed._jdf.queryExecution().toString()
+    assert sorted((x.size, x.first_seq) for x in closed.collect()) == sorted((x.size, x.created_seq) for x in zero.leaf_parts(parts, "<*>").collect())
+
+
+def test_merger_hands_on_when_full(monkeypatch):
+    import pyarrow as pa
+
+    from temploom.operators import zero
+
+    monkeypatch.setattr(zero, "LEAVES", 2)
+    row = lambda leaf, seq, texts: [1, leaf, seq, texts, None, None, None, None, 1, seq, None, None, None, None, None, None]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), zero._ARROW)], schema=zero._ARROW)
+    near = [r for b in zero.merger("<*>", False)([batch([row("a", 3, "a x"), row("a", 1, "a y")]), batch([row("b", 2, "b x")]), batch([row("a", 0, "a z")])]) for r in b.to_pylist()]
+    assert [(r["leaf"], r["created_seq"], r["texts"], r["size"]) for r in near] == [("a", 1, "a <*>", 2), ("b", 2, "b x", 1), ("a", 0, "a z", 1)]
+    far = [r for b in zero.merger("<*>", True)([batch([row("a", 3, "a x")]), batch([row("a", 1, "a y"), row("b", 2, "b x")])]) for r in b.to_pylist()]
+    assert [(r["leaf"], r["created_seq"], r["texts"], r["size"]) for r in far] == [("a", 1, "a <*>", 2), ("b", 2, "b x", 1)]
+
+
+def test_numbered_over_ranges(spark, monkeypatch):
+    import random
+
+    from temploom.operators import numbering
+
+    monkeypatch.setattr(numbering, "KEYS", 60)
+    monkeypatch.setattr(numbering, "RANGES", 7)
+    r = random.Random(2)
+    rows = [(i, "p" * r.choice([1, 70, 80]) + r.choice("abc"), r.random()) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, t string, x double").repartition(5)
+    for keys, order in (((F.col("t"), F.col("id")), lambda y: (y[1], y[0])), ((F.negative("x"), F.col("id")), lambda y: (-y[2], y[0]))):
+        got = numbering.numbered(df, list(keys), "n")
+        assert "_range" in got._jdf.queryExecution().optimizedPlan().toString()
+        assert {x.id: x.n for x in got.collect()} == {y[0]: k for k, y in enumerate(sorted(rows, key=order), 1)}
+
+
+@pytest.mark.parametrize("timed", [False, True])
+def test_page_equals_render(spark, timed):
+    rows = [(i, f"{'abc'[i % 3]} {i} é\"{'z' * (i % 2)}", i * 60_000 if timed else None, f"m{i % 4}") for i in range(12)]
+    c = mine(spark.createDataFrame(rows, "seq long, record string, event_ms long, member string")).catalog
+    for fmt, by in (("text", "size"), ("json", "id"), ("text", "template")):
+        for x in (c, c.filter("false")):
+            got = [(r.n, r.line) for r in cat.page(x, fmt, by).orderBy("n").collect()]
+            assert got == list(enumerate(cat.render(x, fmt, by).split("\n")))
