@@ -1,9 +1,11 @@
-"""The order-dependent learning step of one leaf, in plain Python (no Spark import)."""
+"""The order-dependent learning step of one leaf, in Python (no Spark import)."""
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 @dataclass(slots=True)
@@ -196,3 +198,100 @@ class LeafFold:
             self.memo.clear()
         self.memo[vec] = c
         return c, update
+
+    #: Rows that a settled leaf must have waiting, rows that show whether it has settled, the changes they may have, and literals compared a row at most.
+    BLOCK, TRIAL, CHANGES, WORK = 64, 256, 4, 4000
+    settled = False
+
+    def _holds(self, c: Cluster, codes: np.ndarray, ids: dict[str, int]) -> np.ndarray:
+        """Rows that the template matches in every position."""
+        out = np.ones(codes.shape[1], bool)
+        for k, t in enumerate(c.texts):
+            if t != self.wildcard:
+                out &= codes[k] == ids.get(t, -1)
+        return out
+
+    def _first(self, codes: np.ndarray, ids: dict[str, int]) -> np.ndarray:
+        """By row the first template that matches in every position, or -1."""
+        who = np.full(codes.shape[1], -1)
+        for at, c in enumerate(self.clusters):
+            who[(who < 0) & self._holds(c, codes, ids)] = at
+        return who
+
+    def _observe_all(self, who: np.ndarray, start: int, seq: np.ndarray, cols: dict[str, pa.Array], size: np.ndarray) -> None:
+        """``observe`` for rows from START on, whose templates don't change."""
+        for at in np.unique(who):
+            c, rows = self.clusters[at], np.flatnonzero(who == at) + start
+            size[rows] = c.size + np.arange(1, len(rows) + 1)
+            c.size, c.last_used = c.size + len(rows), int(seq[rows[-1]])
+            pick = {k: x.take(pa.array(rows)).drop_null() for k, x in cols.items() if k in ("event_ms", "observed_ms", "member") and x.null_count < len(x)}
+            if len(x := pick.get("observed_ms", ())):
+                c.updated_ms = x[-1].as_py()
+            if len(x := pick.get("event_ms", ())):
+                low, high = pc.min_max(x).values()
+                c.first_ms = low.as_py() if c.first_ms is None else min(c.first_ms, low.as_py())
+                c.last_ms = high.as_py() if c.last_ms is None else max(c.last_ms, high.as_py())
+            if len(x := pick.get("member", ())):
+                c.members.update(dict.fromkeys(x.unique().to_pylist()))
+
+    def add_block(self, n: int, cols: dict[str, pa.Array]) -> tuple[list, list, list, np.ndarray, list]:
+        """``add`` for many rows of N tokens in order: by row key, seed_id, update, and size and texts (joined) after it.
+
+        cols: seq, vec, lead, trail, suffix, event_ms, observed_ms, member. A row that a template matches in every position changes
+        none, and as the greatest similarity goes to the first of equals, the first such template has it. In a leaf that changes
+        seldom such rows are taken all at once, up to the next row that none matches so; that one goes through ``add``.
+        """
+        total, seq = len(cols["seq"]), cols["seq"].to_numpy()
+        keys, seeds, updates, size, texts = [], [], [], np.zeros(total, np.int64), []
+        plain = codes = None
+        i = 0
+
+        def one(i: int) -> tuple[Cluster, str]:
+            nonlocal plain
+            if plain is None:
+                plain = {k: [None] * total if x.null_count == total else x.to_pylist() for k, x in cols.items() if k not in ("seq", "vec")}
+            vec = cols["vec"][i].as_py()
+            c, update = self.add(vec, vec.split(" ") if n else [], int(seq[i]), **{k: x[i] for k, x in plain.items()})
+            keys.append(c.key), seeds.append(c.seed_id), updates.append(update), texts.append(" ".join(c.texts))
+            size[i] = c.size
+            return c, update
+
+        while i < total:
+            if not self.settled or total - i < self.BLOCK or not n or len(self.clusters) * n > self.WORK:
+                trial = range(i, min(total, i + self.TRIAL))
+                changes = sum(one(k)[1] != "None" for k in trial)
+                self.settled = changes <= self.CHANGES
+                i = trial.stop
+                continue
+            if codes is None:
+                flat = pc.split_pattern(cols["vec"], " ").flatten().dictionary_encode()
+                codes = flat.indices.to_numpy().reshape(total, n).T.copy()
+                ids = {t: k for k, t in enumerate(flat.dictionary.to_pylist())}
+            who, start, loud = self._first(codes[:, i:], ids), i, 0
+            while i < total:
+                open_rows = np.flatnonzero(who[i - start :] < 0)
+                stop = i + int(open_rows[0]) if len(open_rows) else total
+                if stop > i:
+                    part = who[i - start : stop - start]
+                    self._observe_all(part, i, seq, cols, size)
+                    for out, of in ((keys, [c.key for c in self.clusters]), (seeds, [c.seed_id for c in self.clusters]), (texts, [" ".join(c.texts) for c in self.clusters])):
+                        out.extend(map(of.__getitem__, part.tolist()))
+                    updates.extend(["None"] * len(part))
+                    i = stop
+                if i == total:
+                    break
+                held = len(self.clusters)
+                c, update = one(i)
+                i, loud = i + 1, loud + 1
+                if update == "None":
+                    continue
+                if loud > self.CHANGES * max(1, total // self.TRIAL):
+                    self.settled = False
+                    break
+                rest = who[i - start :]
+                if update == "Created" and len(self.clusters) == held:  # one was evicted
+                    rest[:] = self._first(codes[:, i:], ids)
+                else:
+                    at = next(k for k, x in enumerate(self.clusters) if x is c)
+                    rest[self._holds(c, codes[:, i:], ids) & ((rest < 0) | (rest > at))] = at
+        return keys, seeds, updates, size, texts

@@ -4,7 +4,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,26 @@ def _catalog_rows(n: int, leaf: str, fold: LeafFold) -> Iterator[tuple]:
         yield ("C", n, leaf, None, c.key, c.seed_id, None, " ".join(c.texts), c.lead, c.trail, c.size, c.created_ms, c.updated_ms, c.first_ms, c.last_ms, c.suffix, list(c.members), pos, c.last_used)
 
 
+#: Records of one leaf in a batch from which they are folded as a block.
+HOT = 256
+
+
+def _runs(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """The batch in parts, with whether a part is a long run of one leaf's records."""
+    n, leaf = b.column("n_tokens").to_numpy(), b.column("leaf").dictionary_encode().indices.to_numpy()
+    edges = np.flatnonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (leaf[1:] != leaf[:-1]), [True]])) if len(n) else np.zeros(1, int)
+    done = 0
+    for k in np.flatnonzero(np.diff(edges) >= HOT):
+        lo, hi = int(edges[k]), int(edges[k + 1])
+        if pc.min(b.column("ord").slice(lo, hi - lo)).as_py():
+            if lo > done:
+                yield b.slice(done, lo - done), False
+            yield b.slice(lo, hi - lo), True
+            done = hi
+    if done < len(n):
+        yield b.slice(done), False
+
+
 def leaf_folder(threshold: float, cap: int, wildcard: str):
     """The function for ``mapInArrow``: rows come sorted by leaf, then order; memory holds one leaf's templates and one batch."""
     import json
@@ -72,13 +94,12 @@ def leaf_folder(threshold: float, cap: int, wildcard: str):
             out.clear()
             return batch
 
-        for b in batches:
-            cols = [b.column(b.schema.get_field_index(x)).to_pylist() for x in ("ord", "n_tokens", "leaf", "seq", "vec", "lead", "trail", "suffix", "event_ms", "observed_ms", "member", "seed")]
+        def rows(b: pa.RecordBatch) -> None:
+            nonlocal at, fold
+            cols = [[None] * b.num_rows if (c := b.column(x)).null_count == b.num_rows else c.to_pylist() for x in ("ord", "n_tokens", "leaf", "seq", "vec", "lead", "trail", "suffix", "event_ms", "observed_ms", "member", "seed")]
             for o, n, leaf, seq, vec, lead, trail, suffix, ev, ob, member, seed in zip(*cols):
                 if (n, leaf) != at:
-                    if fold is not None:
-                        out.extend(_catalog_rows(*at, fold))
-                    at, fold = (n, leaf), LeafFold(threshold, cap, wildcard)
+                    turn(n, leaf)
                 texts = vec.split(" ") if n else []
                 if not o:
                     s = json.loads(seed)
@@ -86,6 +107,27 @@ def leaf_folder(threshold: float, cap: int, wildcard: str):
                     continue
                 c, update = fold.add(vec, texts, seq, lead=lead, trail=trail, suffix=suffix, event_ms=ev, observed_ms=ob, member=member)
                 out.append(("A", n, leaf, seq, c.key, c.seed_id, update, *[None] * 12))
+
+        def turn(n: int, leaf: str) -> None:
+            nonlocal at, fold
+            if fold is not None:
+                out.extend(_catalog_rows(*at, fold))
+            at, fold = (n, leaf), LeafFold(threshold, cap, wildcard)
+
+        def block(b: pa.RecordBatch) -> pa.RecordBatch:
+            n, leaf = b.column("n_tokens")[0].as_py(), b.column("leaf")[0].as_py()
+            if (n, leaf) != at:
+                turn(n, leaf)
+            keys, seeds, updates, _, _ = fold.add_block(n, {x: b.column(x) for x in ("seq", "vec", "lead", "trail", "suffix", "event_ms", "observed_ms", "member")})
+            made = {"kind": pa.repeat("A", b.num_rows), "n_tokens": b.column("n_tokens"), "leaf": b.column("leaf"), "seq": b.column("seq"), "created_seq": pa.array(keys, pa.int64()), "seed_id": pa.array(seeds, pa.int64()), "update": pa.array(updates, pa.string())}
+            return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.nulls(b.num_rows, f.type) for f in _ARROW], schema=_ARROW)
+
+        for b in batches:
+            for part, hot in _runs(b):
+                if hot:
+                    yield block(part)
+                else:
+                    rows(part)
             yield flush()
         if fold is not None:
             out.extend(_catalog_rows(*at, fold))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import asdict
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -13,12 +14,15 @@ from temploom.functions.tokens import with_tokens
 from temploom.operators.fold import Cluster, LeafFold
 from temploom.operators.mine import fold_input
 from temploom.operators.options import MinerOptions
+from temploom.streaming.runs import SeqSorter
 
 OUTPUT = "n_tokens int, leaf string, seq long, created_seq long, update string, texts string, size long"
 
+ROWS = pa.schema([(x, pa.int64() if x in ("seq", "event_ms", "observed_ms") else pa.string()) for x in ("seq", "vec", "lead", "trail", "suffix", "event_ms", "observed_ms", "member")])
+
 
 class LeafProcessor(StatefulProcessor):
-    """State: the leaf's clusters in scan order. Rows of a micro-batch are folded in seq order; batches in arrival order."""
+    """State: the leaf's clusters in scan order. Rows of a micro-batch are folded in seq order, sorted on disk where they are many; batches in arrival order."""
 
     def __init__(self, threshold: float, cap: int, wildcard: str) -> None:
         self.args = (threshold, cap, wildcard)
@@ -27,18 +31,17 @@ class LeafProcessor(StatefulProcessor):
         self.state = handle.getValueState("clusters", "json string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fold, out = LeafFold(*self.args), []
+        fold, sorter = LeafFold(*self.args), SeqSorter()
         if self.state.exists():
             for x in json.loads(self.state.get()[0]):
                 fold.put(Cluster(**(x | {"members": dict.fromkeys(x["members"])})))
-        batch = pd.concat(list(rows)).sort_values("seq").astype(object)
-        batch = batch.where(batch.notna(), None)
-        for r in batch.itertuples(index=False):
-            whole = lambda x: None if x is None else int(x)
-            c, update = fold.add(r.vec, r.vec.split(" ") if r.n_tokens else [], int(r.seq), lead=r.lead, trail=r.trail, suffix=r.suffix, event_ms=whole(r.event_ms), observed_ms=whole(r.observed_ms), member=r.member)
-            out.append((int(r.n_tokens), r.leaf, int(r.seq), c.key, update, " ".join(c.texts), c.size))
+        for df in rows:
+            sorter.add(pa.table([pa.Array.from_pandas(df[f.name], type=f.type) for f in ROWS], schema=ROWS))
+        n, leaf = int(key[0]), key[1]
+        for b in sorter.batches():
+            keys, _, updates, size, texts = fold.add_block(n, {f.name: b.column(f.name) for f in ROWS})
+            yield pd.DataFrame({"n_tokens": n, "leaf": leaf, "seq": b.column("seq").to_numpy(), "created_seq": keys, "update": updates, "texts": texts, "size": size})
         self.state.update((json.dumps([asdict(c) | {"members": list(c.members)} for c in fold.clusters]),))
-        yield pd.DataFrame(out, columns=["n_tokens", "leaf", "seq", "created_seq", "update", "texts", "size"])
 
     def close(self) -> None:
         pass

@@ -385,3 +385,65 @@ def test_page_equals_render(spark, timed):
         for x in (c, c.filter("false")):
             got = [(r.n, r.line) for r in cat.page(x, fmt, by).orderBy("n").collect()]
             assert got == list(enumerate(cat.render(x, fmt, by).split("\n")))
+
+
+def test_block_equals_rows(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(7)
+    for k in range(60):
+        n, th, cap, total = r.choice([0, 1, 2, 5]), r.choice([0.0, 0.3, 0.5, 0.7, 1.0]), r.choice([1, 2, 4, 10**9]), r.choice([10, 400])
+        rows = [(s, " ".join(r.choice(["a", "<*>", f"v{r.randrange(r.choice([2, 90]))}"]) for _ in range(n)), None, None, None, r.choice([None, r.randrange(99)]), r.choice([None, s]), r.choice([None, "u", "v"])) for s in range(total)]
+        names = ["seq", "vec", "lead", "trail", "suffix", "event_ms", "observed_ms", "member"]
+        a, b = LeafFold(th, cap, "<*>"), LeafFold(th, cap, "<*>")
+        a.BLOCK, a.TRIAL, a.CHANGES = r.choice([1, 5]), r.choice([1, 8]), r.choice([0, 3, 1000])
+        got, want = [], []
+        for lo in range(0, total, 100):
+            part = rows[lo : lo + 100]
+            kinds = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.int64(), pa.string()]
+            got += [(x[0], x[1], x[2], int(x[3]), x[4]) for x in zip(*a.add_block(n, {y: pa.array(c, t) for y, c, t in zip(names, zip(*part), kinds)}))]
+            for s, vec, lead, trail, suffix, ev, ob, m in part:
+                c, update = b.add(vec, vec.split(" ") if n else [], s, lead=lead, trail=trail, suffix=suffix, event_ms=ev, observed_ms=ob, member=m)
+                want.append((c.key, c.seed_id, update, c.size, " ".join(c.texts)))
+        assert got == want
+        assert a.clusters == b.clusters and [list(c.members) for c in a.clusters] == [list(c.members) for c in b.clusters]
+
+
+def test_settled_leaf_is_fast():
+    import random
+    import time
+
+    import pyarrow as pa
+
+    r, fold, n = random.Random(1), LeafFold(0.7, 100, "<*>"), 200_000
+    began, updates = time.process_time(), []
+    for lo in range(0, n, 10_000):
+        s = range(lo, lo + 10_000)
+        null = pa.nulls(len(s), pa.string())
+        cols = {"seq": pa.array(s), "vec": pa.array([f'click user {r.randrange(10**6)} props {{"k": {r.randrange(100)}}}' for _ in s]), "lead": null, "trail": null, "suffix": null, "event_ms": pa.nulls(len(s), pa.int64()), "observed_ms": pa.nulls(len(s), pa.int64()), "member": null}
+        updates += fold.add_block(6, cols)[2]
+    assert len(updates) == n == sum(c.size for c in fold.clusters) and time.process_time() - began < 3
+
+
+@pytest.mark.parametrize("rows", [3, 50, 10**6])
+def test_seq_sorter(monkeypatch, rows):
+    import os
+    import random
+
+    import pyarrow as pa
+
+    from temploom.streaming.runs import SeqSorter
+
+    monkeypatch.setattr(SeqSorter, "ROWS", rows)
+    monkeypatch.setattr(SeqSorter, "STEP", 4)
+    seqs = random.Random(1).sample(range(10**6), 500)
+    s = SeqSorter()
+    for lo in range(0, 500, 7):
+        s.add(pa.table({"seq": pa.array(seqs[lo : lo + 7], pa.int64()), "v": pa.array([str(x) for x in seqs[lo : lo + 7]])}))
+        assert s.rows < rows
+    folder = s.folder and s.folder.name
+    got = [(r["seq"], r["v"]) for b in s.batches() for r in b.to_pylist()]
+    assert got == [(x, str(x)) for x in sorted(seqs)] and bool(folder) == (rows < 500) and not (folder and os.path.exists(folder))
+    assert not list(SeqSorter().batches())
