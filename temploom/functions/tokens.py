@@ -25,7 +25,8 @@ def suffix(col: Column) -> Column:
 
 
 def whitespace_pieces(col: Column) -> Column:
-    return F.array_remove(F.split(col, WHITE + "+"), "")
+    """split() compiles a pattern for each row, regexp_replace() once; a split at one character needs none."""
+    return F.array_remove(F.split(F.regexp_replace(col, WHITE + "+", " "), " "), "")
 
 
 def _class(delims: str) -> str:
@@ -38,19 +39,12 @@ def _plain(t: Column) -> Column:
 
 def path_tokens(piece: Column, delims: str) -> Column:
     """Segments of a piece between delimiter runs; a run counts as its last character before a segment and its first after one."""
-    run = _class(delims) + "+"
-    segs = F.filter(F.split(piece, run), lambda t: t != "")
-    runs = F.regexp_extract_all(piece, F.lit(f"({run})"), F.lit(1))
-    off = F.when(piece.rlike("^" + _class(delims)), 1).otherwise(0)
-    cut = F.transform(
-        segs,
-        lambda t, i: F.struct(
-            t.alias("text"),
-            F.when(i + off >= 1, F.right(F.get(runs, F.greatest(i + off - 1, F.lit(0))), F.lit(1))).alias("lead"),
-            F.left(F.get(runs, i + off), F.lit(1)).alias("trail"),
-        ),
-    )
-    return F.when(F.size(segs) == 0, F.array(_plain(piece))).otherwise(cut)
+    # Each run becomes its first character, a space and its last one: what lies between spaces is a segment with the flags beside it.
+    cut = F.split(F.regexp_replace(piece, f"(?=({_class(delims)})){_class(delims)}*({_class(delims)})", "$1 $2"), " ")
+    flag = lambda a: F.transform(a, lambda x, i: F.struct(F.btrim(x, F.lit(delims)).alias("text"), F.when(i > 0, F.left(x, F.lit(1))).alias("lead"), F.when(i < F.size(a) - 1, F.right(x, F.lit(1))).alias("trail")))
+    # An array of one binds the cut, which would else be made anew for each segment.
+    segs = F.flatten(F.transform(F.array(cut), lambda a: F.filter(flag(a), lambda t: t["text"] != "")))
+    return F.when(F.btrim(piece, F.lit(delims)) == "", F.array(_plain(piece))).otherwise(segs)
 
 
 def tokenize(col: Column, delims: str = "") -> Column:

@@ -29,6 +29,7 @@ def match(probes: DataFrame, catalog: DataFrame, opts: MinerOptions = MinerOptio
     tok = with_tokens(probes, opts).withColumn("_n", F.col("n_tokens")).withColumn("_leaf", F.array_join("leaf_keys", " "))
     # Each candidate is compared once; of equals the first in scan order is the greatest.
     scored = F.transform("_cands", lambda c: F.struct(similarity(c["texts"], texts, opts.wildcard).alias("sim"), (-c["leaf_pos"]).alias("at"), c["id"].alias("id"), c["texts"].alias("texts")))
-    hit = tok.join(leaves, ["_n", "_leaf"], "left").withColumn("_best", F.array_max(scored))
+    # Generated, so that a filter on the result isn't pushed below, where the best would be searched twice.
+    hit = tok.join(leaves, ["_n", "_leaf"], "left").withColumn("_best", F.explode(F.array(F.array_max(scored))))
     ok = F.col("_best.sim") >= opts.sim_threshold
     return hit.select(*probes.columns, F.when(ok, F.col("_best.id")).alias("cluster_id"), F.when(ok, extract_parameters(F.col("_best.texts"), texts, opts.wildcard)).alias("params"))

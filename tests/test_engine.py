@@ -447,3 +447,19 @@ def test_seq_sorter(monkeypatch, rows):
     got = [(r["seq"], r["v"]) for b in s.batches() for r in b.to_pylist()]
     assert got == [(x, str(x)) for x in sorted(seqs)] and bool(folder) == (rows < 500) and not (folder and os.path.exists(folder))
     assert not list(SeqSorter().batches())
+
+
+def test_match_scores_once_under_a_filter(spark):
+    c = mine(lines(spark, LOG), MinerOptions()).catalog
+    m = match(lines(spark, [*LOG, "nothing like it"]), c, MinerOptions()).filter("cluster_id is not null")
+    assert m.count() == len(LOG)
+    assert m._jdf.queryExecution().optimizedPlan().toString().count("array_max") == 1
+
+
+def test_tokenizing_searches_a_piece_once(spark):
+    import re
+
+    plan = tokens.with_tokens(lines(spark, ["/a b"]), MinerOptions(path_delimiters="/:"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and plan.count("regexp_replace") == 2 and not re.search(r"split\(record", plan)
+    got = one(spark, ":/a:b//:c d/ /: e", lambda c: tokens.tokenize(c, "/:"))
+    assert [tuple(t) for t in got] == [("a", "/", ":"), ("b", ":", "/"), ("c", ":", None), ("d", None, "/"), ("/:", None, None), ("e", None, None)]
