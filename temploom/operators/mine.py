@@ -185,8 +185,11 @@ class MineResult:
             cat = self._id(self._hold(leaf_parts(self.rows, self.opts.wildcard))).withColumn("cluster_id", F.col("new_id")).withColumn("leaf_pos", F.lit(0))
         else:
             cat = self._with_id(self.raw.filter("kind = 'C'").drop("seq"))
+        # Without delimiters a template is its texts with spaces between.
+        plain = F.col("lead").isNull() & F.col("trail").isNull()
+        template = F.when(plain, F.col("texts")).otherwise(render_template(F.col("tokens")))
         return cat.withColumn("tokens", _token_structs()).select(
-            F.col("cluster_id").alias("id"), render_template(F.col("tokens")).alias("template"), "tokens", "size", "created_ms", "updated_ms", "event_first_ms", "event_last_ms", "suffix", F.coalesce("members", F.array().cast("array<string>")).alias("members"), "n_tokens",
+            F.col("cluster_id").alias("id"), template.alias("template"), "tokens", "size", "created_ms", "updated_ms", "event_first_ms", "event_last_ms", "suffix", F.coalesce("members", F.array().cast("array<string>")).alias("members"), "n_tokens",
             leaf_keys(F.col("tokens.text"), self.opts).alias("leaf_keys"), "leaf_pos", "last_used",
         )
 

@@ -463,3 +463,9 @@ def test_tokenizing_searches_a_piece_once(spark):
     assert "regexp_extract_all" not in plan and plan.count("regexp_replace") == 2 and not re.search(r"split\(record", plan)
     got = one(spark, ":/a:b//:c d/ /: e", lambda c: tokens.tokenize(c, "/:"))
     assert [tuple(t) for t in got] == [("a", "/", ":"), ("b", ":", "/"), ("c", ":", None), ("d", None, "/"), ("/:", None, None), ("e", None, None)]
+
+
+def test_plain_templates_are_not_rendered(spark):
+    c = mine(lines(spark, ["a b 1", "a b 2", ""])).catalog.select("template")
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN (isnull(lead" in plan and sorted(r.template for r in c.collect()) == ["", "a b <*>"]
